@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -36,6 +37,12 @@ def materialise(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have been written out and are no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     jvm = spark.sparkContext._jvm
