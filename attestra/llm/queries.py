@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from attestra.llm.byte_cnn import op5_byte_cnn
 from attestra.llm.edit_embedding import op9_edit_embedding
+from attestra.llm.katz_backoff import op3_katz_backoff
 from attestra.llm.level_packing import op7_level_packing
 from attestra.llm.license_templates import op1_license_templates
 from attestra.llm.line_windows import OP4_SQL, op4_line_windows
@@ -15,6 +16,7 @@ from attestra.llm.universe_partition import OP6_SQL, op6_universe_partition
 QUERIES = {
     "op1_license_templates": op1_license_templates,
     "op2_token_scan": op2_token_scan,
+    "op3_katz_backoff": op3_katz_backoff,
     "op4_line_windows": op4_line_windows,
     "op5_byte_cnn": op5_byte_cnn,
     "op6_universe_partition": op6_universe_partition,
