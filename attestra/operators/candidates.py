@@ -106,6 +106,21 @@ def single_relation(kg: dict[str, DataFrame], task: Task) -> DataFrame:
     )
 
 
+def single_relation_scores(kg: dict[str, DataFrame], ends: list[DataFrame]) -> DataFrame:
+    """(head, tail, candidate_score) by all three rules, for graphs too large to list paths: only reachability is kept."""
+    found = graph.reachable(graph.ranked_edges(kg["triples"]), ends[0], ends[1])
+    common = graph.common_neighbors(graph.neighbors(kg["triples"]), ends[0], ends[1])
+    mentions = links(kg["evidence"]).select("evidence_id", "entity_id")
+    sides = [mentions.join(e.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").withColumnRenamed("entity_id", n) for e, n in zip(ends, ("head", "tail"))]
+    overlap = sides[0].join(sides[1], "evidence_id").where("head != tail").select("head", "tail").distinct()
+    rows = (
+        found.select("head", "tail", F.when(F.col("hops") <= 2, dec(F.lit("0.4"))).otherwise(dec(F.lit("0.25"))).alias("score"))
+        .unionByName(common.select("head", "tail", routes.capped(F.size("common"), "0.3", "0.15", "0.05").alias("score")))
+        .unionByName(overlap.select("head", "tail", dec(F.lit("0.2")).alias("score")))
+    )
+    return rows.groupBy("head", "tail").agg(F.bround(F.sum("score"), 3).cast("double").alias("candidate_score"))
+
+
 def window(candidates: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Candidates after the first `offset`, `limit` of them."""
     if offset < 0:

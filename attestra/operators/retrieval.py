@@ -48,14 +48,15 @@ def weight(overlap: Column, head: Column, tail: Column, preferred: Column, relia
     return overlap * dec(F.lit("0.08")) + flags + dec(F.coalesce(reliability, F.lit(0.0))) * dec(F.lit("0.2"))
 
 
-def keyword_scores(asked: DataFrame, evidence: DataFrame, entities: DataFrame, top_k: int) -> DataFrame:
+def keyword_scores(asked: DataFrame, evidence: DataFrame, entities: DataFrame, top_k: int, text_only: bool = False) -> DataFrame:
     """(candidate_id, id, retrieval_score, reasons flags): at least the top_k of every candidate.
 
     Words that a relation's candidates share are matched once for the relation. A candidate
     meets evidence that has a word of its own or names an end; of all other evidence only the
-    relation's best top_k can count, since what a candidate adds never lowers a score.
+    relation's best top_k can count, since what a candidate adds never lowers a score. text_only: evidence is searched by its text alone.
     """
-    texts = cut(evidence_texts(evidence, entities).join(evidence.select("id", "source", "reliability"), "id").withColumn("words", tokens(F.col("full_text"))), "texts")
+    full = evidence.select("id", F.col("text").alias("full_text"), "source", "reliability") if text_only else evidence_texts(evidence, entities).join(evidence.select("id", "source", "reliability"), "id")
+    texts = cut(full.withColumn("words", tokens(F.col("full_text"))), "texts")
     spec = asked.select("relation", "relation_text", "preferred_sources").distinct()
     common = spec.withColumn("common", tokens(F.col("relation_text"))).select("relation", "preferred_sources", "common")
     shared = F.size(F.array_intersect("words", "common"))

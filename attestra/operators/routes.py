@@ -72,10 +72,10 @@ def by_cooccurrence(shared: DataFrame) -> DataFrame:
     return found.select("relation", "head", "tail", capped(F.col("n"), "0.5", "0.18", "0.08").alias("score"), F.col("n").cast("int").alias("evidence_count"), first.alias("evidence_ids"))
 
 
-def by_source(shared: DataFrame, evidence: DataFrame) -> DataFrame:
+def by_source(shared: DataFrame, evidence: DataFrame, rules: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
     facts = evidence.select(F.col("id").alias("evidence_id"), "source", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     rule = F.lit(False)
-    for relation, (sources, texts) in SOURCE_RULES.items():
+    for relation, (sources, texts) in (SOURCE_RULES if rules is None else rules).items():
         says = F.lit(not texts)
         for x in texts:
             says = says | F.contains("text", F.lit(x))
