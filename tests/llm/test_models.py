@@ -15,7 +15,7 @@ from tests.llm.conftest import by_id
 
 def brute(rows, order):
     """log10 probability of each text by a dictionary-based model."""
-    toks = [["<s>", *[w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").encode().lower().decode()) if w], "</s>"] for _, t, *_ in rows]
+    toks = [["begin of text", *[w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").encode().lower().decode()) if w], "end of text"] for _, t, *_ in rows]
     held = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, *_ in rows]
     c = [Counter() for _ in range(order + 1)]
     for t, h in zip(toks, held):
