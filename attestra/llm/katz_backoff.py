@@ -201,8 +201,8 @@ class _View:
         if level > 1:
             self.c.extend()
         self.slots.append(self.slices(level))
-        self.ids.append(self._gather("counts", level, 0, np.int64))
-        self.counts.append(self._gather("counts", level, 1, np.int64))
+        self.ids.append(self._gather("counts", level, 0, np.int64))  # at the last level: not ids
+        self.counts.append(self._gather("counts", level, -1, np.int64))
         gram = self.c.grams[level - 1]
         if level == 1:
             self.prob = self.m.unigram(self.counts[0])[gram]
@@ -239,6 +239,14 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "level", "chunk", "bucket", "blob"])
 
 
+def _emit_words(batches: Iterator[pa.RecordBatch], model: _Model) -> Iterator[pa.RecordBatch]:
+    """Chunks -> their words, a row a bucket."""
+    nothing = pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["kind", "level", "bucket", "blob"])
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield from _emit(model, 1)(pa.Table.from_batches([batch.slice(k, 1)]), nothing).to_batches()
+
+
 def _emit(model: _Model, level: int):
     """Chunks and what was sent to them -> their n-grams of a level, a row a bucket."""
 
@@ -270,8 +278,8 @@ def _emit(model: _Model, level: int):
     return run
 
 
-def _count(model: _Model, level: int):
-    """All chunks' n-grams of a bucket -> ids and counts for each chunk, the bucket's totals, statistics of its histories."""
+def _count(model: _Model, level: int, last: bool):
+    """All chunks' n-grams of a bucket -> ids (below the last level) and counts for each chunk, the bucket's totals, statistics of its histories."""
 
     def run(grams: pa.Table) -> pa.Table:
         chunks, blobs = grams.column("chunk").to_pylist(), grams.column("blob").to_pylist()
@@ -299,7 +307,7 @@ def _count(model: _Model, level: int):
         start = 0
         for chunk, n in zip(chunks, sizes):
             of = inverse[start : start + n]
-            rows.append(("counts", level, chunk, bucket, _pack(_narrow(ids[of]), _narrow(total[of]))))
+            rows.append(("counts", level, chunk, bucket, _pack(*([] if last else [_narrow(ids[of])]), _narrow(total[of]))))
             start += n
         counted = total
         if level == 1:
@@ -378,6 +386,14 @@ def _totals(rows: DataFrame, level: int) -> np.ndarray:
     return sum((_unpack(bytes(r.blob))[0] for r in got), np.zeros(DISCOUNTED + 3, np.int64))
 
 
+def _chunk_table(chunks: DataFrame, root: str) -> DataFrame:
+    """The chunks, written once and bucketed by chunk: what joins them later is brought to them, they are not shuffled."""
+    spark = chunks.sparkSession
+    name = "attestra_chunks_" + root.rsplit("-", 1)[-1]
+    chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", f"{root}/chunks").saveAsTable(name)
+    return spark.table(name)
+
+
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every whole text.
 
@@ -393,13 +409,15 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     root = shared_dir(spark)
     id_type = docs.schema["doc_id"].dataType
     kind = id_type.simpleString()
-    chunks = materialise(map_arrow(id_and_text(docs), _chunks, f"chunk long, ids array<{kind}>, blob binary"), root, "chunks")
+    chunks = _chunk_table(map_arrow(id_and_text(docs), _chunks, f"chunk long, ids array<{kind}>, blob binary"), root)
     model = _Model(max(4, -(-chunks.count() // CHUNKS_PER_BUCKET)))
     sent = spark.createDataFrame([], _ROWS)
     for level in range(1, order + 1):
-        to_chunks = sent.where(F.col("kind").isin("counts", "alpha"))
-        grams = chunks.groupBy("chunk").cogroup(to_chunks.groupBy("chunk")).applyInArrow(_emit(model, level), _ROWS)
-        counted = materialise(grams.groupBy("bucket").applyInArrow(_count(model, level), _ROWS), root, f"counts-{level}")
+        if level == 1:
+            grams = map_arrow(chunks.select("chunk", "blob"), _emit_words, _ROWS, model=model)
+        else:
+            grams = chunks.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_emit(model, level), _ROWS)
+        counted = materialise(grams.groupBy("bucket").applyInArrow(_count(model, level, level == order), _ROWS), root, f"counts-{level}")
         release(spark)
         total = _totals(counted, level)
         if level == 1:
