@@ -103,6 +103,21 @@ def test_components_lose_nothing(spark):
     assert got == brute_components(rows)
 
 
+def test_components_of_a_large_group(spark):
+    """Near copies of one text, many of them unlike each other: partners are tried in turns before all pairs are."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(160), rng.choice((1, 2, 2, 3, 4, 5))):
+            words[k] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    want = brute_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in universe_partition.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 90
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_similar_sets_share_a_signature(seed):
     """For sets of all sizes, at the largest difference allowed, with and without frequent shingles."""
