@@ -16,9 +16,9 @@ from pyspark.sql.types import StructType
 BATCH_BYTES = 8 << 20
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches of this session by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,12 +59,14 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: StructType | str, **params) -> DataFrame:
-    """mapInArrow with keyword parameters for fn(batches, **params)."""
-    prepare(df.sparkSession)
+def map_arrow(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: StructType | str, batch_bytes: int = BATCH_BYTES, **params) -> DataFrame:
+    """mapInArrow with keyword parameters for fn(batches, **params), in batches of some bytes."""
+    prepare(df.sparkSession, batch_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(batches, **params)
+        for out in fn(batches, **params):
+            yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -8,7 +8,8 @@ the exact segments have at most H - 2 * one differing ones, and among the cheape
 H - 2 * one + 1 of either set (in one order for all: rare shingles first, then large subsets) a
 subset is common. How many segments of each kind a band has is allocated by cost.
 Candidates are verified exactly: first each set with the set that it shares most
-signatures with; then all candidate pairs that the links so far leave in different components.
+signatures with, then, while many pairs are open, with random partners of other components;
+in the end all candidate pairs that the links so far leave in different components.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from attestra.llm.components import components
 WORDS, PERCENT = 5, 80
 #: Cells in which shingles are counted to tell frequent ones; only the order of signatures depends on them.
 HOT_BITS = 22
+#: Bytes of a batch: words, hashes and sets of its texts take some twenty times as much in a worker.
+BATCH = 2 << 20
+#: Random partners that a set tries in a turn, and pairs for each open set that are few enough to be tried all.
+PARTNERS, FEW = 4, 20
 #: Words of 64 bits of the filter that tells which rows are needed again.
 FILTER_WORDS = 1 << 20
 _SEEDS = np.random.default_rng(61).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -177,7 +182,8 @@ def _heat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s for s in shingle_sets(batch.column("text"))]
         if sets:
-            counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - HOT_BITS)).astype(np.int64), minlength=1 << HOT_BITS).astype(np.int32)
+            cells, n = np.unique((np.concatenate(sets) >> np.uint64(64 - HOT_BITS)).astype(np.uint32), return_counts=True)
+            counts[cells] += n.astype(np.int32)
     cells = np.flatnonzero(counts >= 6 + 6 * counts.mean())
     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], ["cell", "n"])
 
@@ -200,31 +206,27 @@ def _signed(batches: Iterator[pa.RecordBatch], hot: bytes) -> Iterator[pa.Record
 
 
 def _wanted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """set_id and text of the sets that may be needed, once for each set in a partition."""
+    """set_id and shingles of the sets that may be needed, once for each set in a partition."""
     met: set[int] = set()
     for batch in batches:
-        keys, texts = [], []
-        for s, text in zip(shingle_sets(batch.column("text")), batch.column("text")):
+        keys, sets = [], []
+        for s in shingle_sets(batch.column("text")):
             if len(s):
                 key = set_id(s)
                 if key not in met and bits[key % FILTER_WORDS] >> (key // FILTER_WORDS % 64) & 1:
                     met.add(key)
                     keys.append(key)
-                    texts.append(text.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], ["set_id", "text"])
+                    sets.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets are similar, by the exact sizes of intersection and union."""
     for batch in batches:
         good = []
-        last: tuple[str | None, np.ndarray | None] = (None, None)
-        for a, b_text in zip(shingle_sets(batch.column("text_u")), batch.column("text_v").to_pylist()):
-            if b_text != last[0]:
-                last = (b_text, next(shingle_sets(pa.array([b_text]))))
-            b = last[1]
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            good.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+        for a, b in zip(batch.column("set_u").to_pylist(), batch.column("set_v").to_pylist()):
+            common = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+            good.append(100 * common >= PERCENT * ((len(a) + len(b)) // 8 - common))
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -239,11 +241,35 @@ def _filter_bits(keys: DataFrame, column: str) -> np.ndarray:
     return bits
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs (u, v); a pair carries u's text to where v's is."""
-    left = pairs.join(texts.select(F.col("set_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = left.join(texts.select(F.col("set_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return map_arrow(both.select("u", "v", "text_u", "text_v"), _verified, "u long, v long")
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified pairs (u, v); a pair carries u's set to where v's is."""
+    left = pairs.join(sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("set_u")), "u")
+    both = left.join(sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("set_v")), "v")
+    return map_arrow(both.select("u", "v", "set_u", "set_v"), _verified, "u long, v long", BATCH)
+
+
+def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (code, set_id, n, component) of those codes that stand in more than one component."""
+    placed = shared.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("code", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+    split = placed.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("code")
+    return placed.join(split, "code")
+
+
+def _open_pairs(rows: DataFrame) -> tuple[int, int]:
+    """Sets in open rows, and how many pairs of them, counted once a code, lie in different components."""
+    parts = rows.groupBy("code", "component").agg(F.count("*").alias("n")).groupBy("code").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs = parts.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()[0]
+    return rows.select("set_id").distinct().count(), int(pairs)
+
+
+def _some_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """For each open set PARTNERS sets of other components, each next to it in a code's rows in a random order of this turn."""
+    order = F.xxhash64("set_id", "code", F.lit(turn))
+    by = Window.partitionBy("code").orderBy(order, "set_id")
+    near = rows.withColumn("v", F.lag("set_id").over(by)).withColumn("m", F.lag("n").over(by)).withColumn("other", F.lag("component").over(by))
+    fit = near.where((F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))).select(F.col("set_id").alias("u"), "v").distinct()
+    pick = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(turn)), "v")
+    return fit.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= PARTNERS).select("u", "v")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -260,9 +286,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     base = id_and_text(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     hot = np.zeros(1 << HOT_BITS, np.uint8)
-    heat = map_arrow(base.select("text"), _heat, "cell long, n long").groupBy("cell").agg(F.floor(F.log2(F.sum("n"))).alias("level")).toArrow()  # 2^HOT_BITS rows at most
+    heat = map_arrow(base.select("text"), _heat, "cell long, n long", BATCH).groupBy("cell").agg(F.floor(F.log2(F.sum("n"))).alias("level")).toArrow()  # 2^HOT_BITS rows at most
     hot[np.asarray(heat["cell"])] = np.asarray(heat["level"])
-    sets = materialise(map_arrow(base, _signed, f"doc_id {kind}, n_shingles long, set_id long, codes array<long>", hot=zlib.compress(hot.tobytes(), 1)), root, "sets")
+    sets = materialise(map_arrow(base, _signed, f"doc_id {kind}, n_shingles long, set_id long, codes array<long>", BATCH, hot=zlib.compress(hot.tobytes(), 1)), root, "sets")
 
     by_code = Window.partitionBy("code").orderBy("set_id")
     whole = Window.partitionBy("code")
@@ -271,23 +297,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = materialise(grouped.where((F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("code", "set_id", "n", "least"), root, "shared")
 
     bits = _filter_bits(shared.select("set_id").distinct(), "set_id")
-    texts = map_arrow(base.select("text"), _wanted, "set_id long, text string", bits=bits)
-    texts = materialise(texts.groupBy("set_id").agg(F.first("text").alias("text")), root, "texts")
+    known = map_arrow(base.select("text"), _wanted, "set_id long, shingles binary", BATCH, bits=bits)
+    known = materialise(known.groupBy("set_id").agg(F.first("shingles").alias("shingles")), root, "known")
 
     first = shared.where("set_id != least").groupBy("set_id", "least").count().groupBy("set_id").agg(F.max_by("least", F.struct("count", "least")).alias("v")).select(F.col("set_id").alias("u"), "v")
     tried = materialise(first, root, "tried")
-    linked = materialise(_links(tried, texts), root, "linked")
+    linked = materialise(_links(tried, known), root, "linked")
     groups = components(linked, root, "groups")
-
-    placed = shared.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("code", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    split = placed.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("code")
-    open_rows = materialise(placed.join(split, "code"), root, "open")
-    one, two = (open_rows.select("code", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "component"))) for s in ("u", "v"))
+    rows = materialise(_open(shared, groups), root, "open")
+    size, pairs = _open_pairs(rows)
+    turn = 0
+    while pairs > FEW * size:  # joining random partners first leaves few pairs to try one by one
+        turn += 1
+        more = materialise(_links(_some_pairs(rows, turn), known), root, f"linked-{turn}")
+        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, f"groups-{turn}")
+        rows = materialise(_open(shared, groups), root, f"open-{turn}")
+        before, (size, pairs) = pairs, _open_pairs(rows)
+        if pairs > 0.8 * before:
+            break
+
+    one, two = (rows.select("code", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "component"))) for s in ("u", "v"))
     like = (F.col("set_id_u") < F.col("set_id_v")) & (F.col("component_u") != F.col("component_v")) & (100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
     rest = one.join(two, "code").where(like).select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v")).distinct()
     seen = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialise(_links(rest.join(seen, ["u", "v"], "left_anti"), texts), root, "more")
-    final = components(linked.unionByName(more), root, "final")
+    more = materialise(_links(rest.join(seen, ["u", "v"], "left_anti"), known), root, "more")
+    final = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, "final")
 
     least = sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("own"))
     named = least.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
