@@ -6,7 +6,9 @@ agree and meet again soon after an insertion or deletion, so their edit distance
 Hamming distance between the characters that the walks emit. A fingerprint samples the
 emitted sequence: for each of its places, the step with the least hash among those of its
 class that the text's walk has, so texts of like length sample the same steps. Banding
-over groups of places proposes near pairs, which the edit distance then verifies.
+over groups of places proposes near pairs, which the edit distance then verifies: first
+each band's least text meets the others, then all that are still in two classes meet.
+Short texts, whose walks leave places empty, are proposed by their halves instead, exactly.
 """
 
 from __future__ import annotations
@@ -20,12 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import id_and_text, map_arrow, materialise, read_table, shared_dir
+from attestra.llm.common import id_and_text, map_arrow, materialise, read_table, release, shared_dir
+from attestra.llm.components import components
 
 #: Places of a fingerprint (two hex digits each), rows of the walk's random table, steps per character.
 PLACES, PERIOD, STEPS_PER_CHAR = 64, 4093, 1.4
 #: Share of steps that move on; code units walked at once.
 MOVE_SHARE, WALK_CHARS = 0.75, 12_000_000
+#: Near texts: one edit in so many characters, so many edits at most, one at least from so many characters; bands.
+CHARS_PER_EDIT, MOST_EDITS, LEAST_CHARS, BANDS, BAND_PLACES = 200, 8, 10, 32, 4
+#: Texts below the first length are proposed by halves (one edit at most), from the second on by bands.
+HALVES_BELOW, BANDS_FROM = 2 * CHARS_PER_EDIT, CHARS_PER_EDIT
 _SEED = 20_240_229
 
 
@@ -118,6 +125,46 @@ def likeness(a: bytes, b: bytes) -> float:
     return sum(x == y for x, y in zip(a, b)) / PLACES
 
 
+def allowed(n_chars: int) -> int:
+    """Edits within which two texts are near, by the length of the longer one."""
+    return max(int(n_chars >= LEAST_CHARS), min(n_chars // CHARS_PER_EDIT, MOST_EDITS))
+
+
+@lru_cache(maxsize=1)
+def _bands() -> list[list[int]]:
+    """Places of each band: all places in random order, cut into bands, as often as it takes."""
+    rng, out = np.random.default_rng(_SEED), []
+    while len(out) < BANDS:
+        out += rng.permutation(PLACES).reshape(-1, BAND_PLACES).tolist()
+    return out[:BANDS]
+
+
+def band_codes(fingerprint: bytes) -> list[int]:
+    import xxhash
+
+    return [xxhash.xxh3_64_intdigest(b"%d:" % k + bytes(fingerprint[i] for i in band)) - (1 << 63) for k, band in enumerate(_bands())]
+
+
+def half_codes(text: str) -> list[int]:
+    """What short texts within one edit share: one of their halves.
+
+    One edit leaves all but one character of the shorter text to the common beginning and
+    end, so one of them has half of the rest; a text looks for partners of its length and one less.
+    """
+    import xxhash
+
+    n = len(text)
+    if not LEAST_CHARS - 1 <= n < HALVES_BELOW:
+        return []
+    parts = [(kind, shorter, part) for shorter in (n, n - 1) for kind, part in (("a", text[: shorter // 2]), ("z", text[n - shorter // 2 :]))]
+    return [xxhash.xxh3_64_intdigest(f"{kind}{shorter}:{part}".encode("utf-8", "surrogatepass")) - (1 << 63) for kind, shorter, part in parts]
+
+
+def codes(text: str, fingerprint: bytes) -> list[int]:
+    """What a text shares with its near texts."""
+    return half_codes(text) + (band_codes(fingerprint) if len(text) >= BANDS_FROM else [])
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by as much of the beginning of the following text."""
     half = len(text) // 2
@@ -133,8 +180,8 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first: tuple | None = None
 
     def record(kind: str, rows: list[tuple]) -> pa.RecordBatch:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kind", "part", "text"]
-        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.string()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_sha256", "halves", "kind", "part", "text"]
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.string()]
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -148,7 +195,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = ([held] if held else []) + list(zip(ids, texts, own))
         rows = []
         for (i, t, f), e, g, nxt in zip(before, changed, new, own if held else own[1:]):
-            rows.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), likeness(f, g), likeness(f, nxt), "row", part, None))
+            rows.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), likeness(f, g), likeness(f, nxt), hashlib.sha256(t.encode()).hexdigest(), half_codes(t), "row", part, None))
         first = first or before[0]
         held = (ids[-1], texts[-1], own[-1])
         return record("row", rows) if rows else None
@@ -169,7 +216,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if (out := flush(ids, texts)) is not None:
         yield out
     if first and held:
-        yield record("edge", [(i, None, None, f.hex(), None, None, None, kind, part, t) for kind, (i, t, f) in (("first", first), ("last", held))])
+        yield record("edge", [(i, None, None, f.hex(), None, None, None, None, None, kind, part, t) for kind, (i, t, f) in (("first", first), ("last", held))])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +232,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([g.hex() for g in new], pa.string()),
             pa.array([likeness(f, g) for f, g in zip(prints[0], new)], pa.float64()),
             pa.array([likeness(f, g) for f, g in zip(*prints)], pa.float64()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in mine], pa.string()),
+            pa.array([half_codes(t) for t in mine], pa.list_(pa.int64())),
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_sha256", "halves"])
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -197,19 +246,27 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     what lies at the partitions' edges is stitched from two rows a partition. Null and empty
     texts have n_chars 0 and the fingerprint of the empty text. Other columns stay behind.
     """
+    return _with_halves(docs).drop("text_sha256", "halves")
+
+
+def _with_halves(docs: DataFrame) -> DataFrame:
+    """fingerprint_documents, and each text's hash and the codes of its halves."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     dealt = id_and_text(docs)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     dealt = dealt.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    result = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = materialise(map_arrow(dealt, _walks, f"{result}, kind string, part long, text string"), shared_dir(spark), "walks")
+    result = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_sha256 string, halves array<long>"
+    root = shared_dir(spark)
+    rows = materialise(map_arrow(dealt, _walks, f"{result}, kind string, part long, text string"), root, "walks")
+    release(spark)
     parts = [r.part for r in rows.where("kind = 'first'").select("part").orderBy("part").collect()]  # one a partition
     follow = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part long, next_part long")
     last = rows.where("kind = 'last'").select("part", "doc_id", "text", "fingerprint").join(F.broadcast(follow), "part")
     first = rows.where("kind = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     edges = map_arrow(last.join(first, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint"), _edges, result)
+    edges = materialise(edges, root, "edges")
     return rows.where("kind = 'row'").drop("kind", "part", "text").unionByName(edges)
 
 
@@ -217,18 +274,94 @@ def near_pairs(prints: DataFrame, bands: int = 16, likely: float = 0.5) -> DataF
     """Pairs (a, b, likeness) of ids whose fingerprints share a band of places and agree at `likely` of them at least.
 
     prints: doc_id and fingerprint, one row an id. Equal fingerprints are joined through
-    their least id, and within a band every member meets the band's least member, so a
-    group of n gives n - 1 pairs; links between further members follow through it.
+    their least id; of unlike ones all members of a band meet.
     """
     width = PLACES * 2 // bands
     own = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
     same = prints.join(own.withColumnRenamed("doc_id", "a"), "fingerprint").where("a < doc_id").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
     banded = own.select("doc_id", "fingerprint", F.explode(F.array(*(F.concat(F.lit(f"{k}:"), F.substring("fingerprint", 1 + k * width, width)) for k in range(bands)))).alias("band"))
-    least = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("least"))
-    pairs = banded.join(least, "band").select(F.col("least.doc_id").alias("a"), F.col("least.fingerprint").alias("fa"), F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb")).where("a < b").distinct()
+    others = banded.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb"), "band")
+    pairs = banded.withColumnsRenamed({"doc_id": "a", "fingerprint": "fa"}).join(others, "band").where("a < b").drop("band").distinct()
     agree = F.expr(f"aggregate(sequence(1, {PLACES * 2}, 2), 0, (s, i) -> s + int(substring(fa, i, 2) = substring(fb, i, 2)))") / F.lit(float(PLACES))
     return same.unionByName(pairs.withColumn("likeness", agree).where(F.col("likeness") >= likely).select("a", "b", "likeness"))
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, prints, halves = (batch.column(c).to_pylist() for c in ("n_chars", "fingerprint", "halves"))
+        found = [h + (band_codes(bytes.fromhex(f)) if k >= BANDS_FROM else []) for k, f, h in zip(n, prints, halves)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "turn", "n_chars")), pa.array(found, pa.list_(pa.int64()))], ["node", "turn", "n_chars", "codes"])
+
+
+def _edits(n: str) -> str:
+    """allowed() in SQL."""
+    return f"greatest(int({n} >= {LEAST_CHARS}), least(int({n} div {CHARS_PER_EDIT}), {MOST_EDITS}))"
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, root: str, name: str) -> DataFrame:
+    """Those of the pairs (u, v) whose texts are within the edits allowed; only the texts of pairs are moved on."""
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    least = materialise(nodes.join(needed, "node").select("node", F.col("doc_id").alias("least_id"), "text_sha256"), root, f"{name}-nodes")
+    keyed = id_and_text(docs).select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    # a bitmap of the wanted texts' hashes, about a byte each, keeps nearly all other texts from being moved
+    bits = 64 << max(0, least.count() // 8).bit_length()
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word, bit = (lambda c: F.shiftright(at(c), 6)), (lambda c: F.expr(f"shiftleft(1L, int(pmod(xxhash64({c}), 64)))"))
+    bitmap = least.groupBy(word("text_sha256").alias("word")).agg(F.bit_or(bit("text_sha256")).alias("bits"))
+    keyed = keyed.join(F.broadcast(bitmap), word("key") == F.col("word")).where(F.col("bits").bitwiseAND(bit("key")) != 0)
+    texts = keyed.join(least, (F.col("key") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
+    texts = materialise(texts, root, f"{name}-texts")
+    release(docs.sparkSession)
+    u, v = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
+    longer = "greatest(length(text_u), length(text_v))"
+    links = pairs.join(u, "u").join(v, "v").where(F.expr(f"levenshtein(text_u, text_v, {_edits(longer)}) >= 0")).select("u", "v").distinct()
+    return materialise(links, root, f"{name}-links")
+
+
+def near_documents(docs: DataFrame) -> DataFrame:
+    """fingerprint_documents with class_id and n_links.
+
+    Two texts are linked if they share a code and their edit distance is within allowed().
+    class_id is the least doc_id of the texts that links connect, equal texts included (null: no
+    text of the class has an id). n_links counts the links of a text to other texts that
+    were verified; pairs that links already connect are not compared again.
+    """
+    spark = docs.sparkSession
+    root = shared_dir(spark)
+    rows = _with_halves(docs)
+    nodes = rows.groupBy("text_sha256", "fingerprint", "n_chars", "halves").agg(F.min("doc_id").alias("doc_id"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), root, "nodes")
+    coded = map_arrow(nodes.select("node", F.xxhash64("text_sha256").alias("turn"), "n_chars", "fingerprint", "halves"), _coded, "node long, turn long, n_chars long, codes array<long>")
+    members = coded.select("node", "turn", "n_chars", F.explode("codes").alias("code"))
+    close = F.expr(f"abs(n_u - n_v) <= {_edits('greatest(n_u, n_v)')}")
+
+    def end(frame: DataFrame, x: str) -> DataFrame:
+        return frame.select("code", F.col("node").alias(x), F.col("n_chars").alias(f"n_{x}"), F.col("component").alias(f"component_{x}"))
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return found.where(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    first = members.groupBy("code").agg(F.min(F.struct("turn", "node", "n_chars")).alias("first"), F.count("*").alias("n")).where("n > 1").select("code", F.col("first.node").alias("u"), F.col("first.n_chars").alias("n_u"))
+    shared = materialise(members.drop("turn").join(first, "code"), root, "shared")
+    release(spark)
+    stars = materialise(pairs(shared.withColumnsRenamed({"node": "v", "n_chars": "n_v"}).where("u != v")), root, "stars")
+    links = _verified(stars, nodes, docs, root, "stars")
+    joined = components(links, root, "joined")
+    labelled = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = materialise(labelled.select("node", "n_chars", "code", "component"), root, "labelled")
+    apart = labelled.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("code")
+    left = labelled.join(apart, "code")
+    rest = pairs(end(left, "u").join(end(left, "v"), "code").where("u < v and component_u != component_v")).join(stars, ["u", "v"], "left_anti")
+    rest = materialise(rest, root, "rest")
+    release(spark)
+    links = links.unionByName(_verified(rest, nodes, docs, root, "rest"))
+    final = components(links, root, "final")
+    counts = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    placed = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    known = placed.join(least, "component").join(counts, "node", "left").select("text_sha256", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(known, "text_sha256").drop("text_sha256", "halves")
+
+
 def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+    return near_documents(read_table(spark, sf_dir, "documents"))
