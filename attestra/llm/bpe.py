@@ -3,12 +3,14 @@
 A single space between two non-space characters always begins a pre-token, so a text
 falls apart there and the pieces' ids can be kept. Texts with other white space beside
 a space are encoded whole. The vocabulary's ranks and the tokenizer file hold the same
-vocabulary, so the ids are those of the tokenizer file.
+vocabulary, so the ids are those of the tokenizer file; its added tokens, which it finds
+in a text before all else, are cut out of the text first.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 
@@ -44,7 +46,7 @@ class ByteBpe:
         self.pieces = _Pieces(self.encode)
 
     def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes."""
+        """Ids as little-endian unsigned 32-bit bytes; added tokens are read as plain text."""
         if not text:
             return b""
         first, *rest = text.split(" ")
@@ -58,6 +60,14 @@ class ByteBpe:
         return np.asarray(self.encode(text), dtype="<u4").tobytes()
 
 
+    def ids_with_added(self, text: str, added: dict[str, int]) -> bytes:
+        """ids(), with the added tokens that the text holds as one id each."""
+        if not any(token in text for token in added):
+            return self.ids(text)
+        parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+        return b"".join(added[p].to_bytes(4, "little") if k % 2 else self.ids(p) for k, p in enumerate(parts))
+
+
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -72,3 +82,16 @@ def default_vocabulary() -> dict[str, str]:
     import public_tokenizers as vocabularies
 
     return {"ranks_path": vocabularies.path("byte_bpe_50k.tiktoken"), "pattern": vocabularies.PATTERN}
+
+
+def added_tokens() -> dict[str, int]:
+    """Text and id of the tokenizer file's added tokens, which have no flags set (checked)."""
+    import json
+
+    import public_tokenizers as vocabularies
+
+    with open(vocabularies.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that do not stand for their text alone")
+    return {t["content"]: t["id"] for t in tokens}

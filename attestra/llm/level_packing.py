@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm.bpe import default_vocabulary, load
+from attestra.llm.bpe import added_tokens, default_vocabulary, load
 from attestra.llm.common import id_and_text, map_arrow, read_table
 
 WINDOW, END_ID, OPEN_WINDOWS = 1024, 0, 8192
@@ -94,7 +94,7 @@ class LevelArray:
         self.open = 0
 
 
-def _pack(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, window: int, end_id: int, added: dict[str, int]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     bpe = load(ranks_path, pattern)
@@ -110,7 +110,7 @@ def _pack(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, wind
     for batch in batches:
         kind = batch.column("doc_id").type
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = bpe.ids(text) + end
+            ids = bpe.ids_with_added(text, added) + end
             total = len(ids) // 4
             for start in range(0, total, window):
                 levels.place(doc_id, start, ids[4 * start : 4 * (start + window)], total)
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID,
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in _NAMES[1:])
-    return map_arrow(id_and_text(docs), _pack, schema, window=window, end_id=end_id, **(vocabulary or default_vocabulary()))
+    return map_arrow(id_and_text(docs), _pack, schema, window=window, end_id=end_id, added=added_tokens() if vocabulary is None else {}, **(vocabulary or default_vocabulary()))
 
 
 def op7_level_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
