@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from attestra.llm.common import crc_mod, id_and_text, map_arrow, materialise, read_table, release, shared_dir
 
 #: Order of the model, counts that are discounted, share of documents held out (1 of FOLDS), chunks for each bucket.
-ORDER, DISCOUNTED, FOLDS, CHUNKS_PER_BUCKET = 2, 5, 10, 2
+ORDER, DISCOUNTED, FOLDS, CHUNKS_PER_BUCKET = 3, 5, 10, 2
 #: Keys of the end and of the beginning of a text; neither is a word.
 END_WORD, BEGIN_WORD = b" ", b"  "
 _ROWS = "kind string, level int, chunk long, bucket int, blob binary"
