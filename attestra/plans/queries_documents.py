@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
 
 @query("doc_sentences", "select 'sent_d' || doc_id || '_' || lpad(cast(i as varchar), 3, '0') as id, doc_id, len(s) as n_chars from (select doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as s from (select doc_id, string_split(text, chr(10)) as ls from documents)) where i < 1000")
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = P.Tables(s, d).documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s")).where("i < 1000")
+    rows = P.Tables(s, d).documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
     return rows.select(F.concat(F.lit("sent_d"), F.col("doc_id").cast("string"), F.format_string("_%03d", "i")).alias("id"), "doc_id", F.length("s").cast("long").alias("n_chars"))
 
 
