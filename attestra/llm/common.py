@@ -6,6 +6,7 @@ import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,30 @@ from pyspark.sql.types import StructType
 BATCH_BYTES = 8 << 20
 
 
-def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches of this session by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+def prepare(spark: SparkSession) -> None:
+    """Bound what the JVM sends a Python worker at a time to BATCH_BYTES for this session, if it is more; never raised again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, None) or "")
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `most` bytes or one row."""
+    for batch in batches:
+        if batch.nbytes <= most or batch.num_rows < 2:
+            yield batch
+        else:
+            half = batch.num_rows // 2
+            yield from in_pieces(iter([batch.slice(0, half), batch.slice(half)]), most)
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives freed memory back to the system, where there is one."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,10 +83,11 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 def map_arrow(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: StructType | str, batch_bytes: int = BATCH_BYTES, **params) -> DataFrame:
     """mapInArrow with keyword parameters for fn(batches, **params), in batches of some bytes."""
-    prepare(df.sparkSession, batch_bytes)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches, **params):
+        _trim()(0)  # what an earlier task of this worker has left
+        for out in fn(in_pieces(batches, batch_bytes), **params):
             yield out
             pa.default_memory_pool().release_unused()
 

@@ -7,9 +7,15 @@ segments that are indexed with one-deletion neighbourhoods, one differs by at mo
 the exact segments have at most H - 2 * one differing ones, and among the cheapest
 H - 2 * one + 1 of either set (in one order for all: rare shingles first, then large subsets) a
 subset is common. How many segments of each kind a band has is allocated by cost.
-Candidates are verified exactly: first each set with the set that it shares most
-signatures with, then, while many pairs are open, with random partners of other components;
-in the end all candidate pairs that the links so far leave in different components.
+
+Sets that share a signature are candidates. Before the sets themselves are brought together,
+candidates are held against each other by parity bitmaps: each shingle flips one of some two bits a
+shingle, so the bits that differ are never more than the shingles that differ, and pairs with
+too many are no links for certain. What is left is verified exactly, in this order: each set
+with the one that it shares most signatures with; in large groups of one signature the
+likeliest partners in other components, block by block, as long as that joins many; in the end
+every candidate pair that still is in two components. Groups are cut into blocks that meet in
+pairs, each in a task of its own, and only pairs that pass the bitmaps ever become rows.
 """
 
 from __future__ import annotations
@@ -23,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from attestra.llm.common import id_and_text, map_arrow, materialise, read_table, remove, shared_dir
+from attestra.llm.common import id_and_text, map_arrow, materialise, read_table, release, shared_dir
 from attestra.llm.components import components
 
 #: Words of a shingle; documents link at 100 * |intersection| >= PERCENT * |union|.
@@ -33,8 +40,12 @@ WORDS, PERCENT = 5, 80
 HOT_BITS = 22
 #: Bytes of a batch: words, hashes and sets of its texts take some twenty times as much in a worker.
 BATCH = 2 << 20
-#: Random partners that a set tries in a turn, and pairs for each open set that are few enough to be tried all.
-PARTNERS, FEW = 4, 20
+#: Rows of a signature up to which its pairs are made by a join; larger groups meet in blocks of so many rows.
+SMALL, BLOCK = 64, 512
+#: Likeliest partners that a set of a large group tries in a turn, and the share of its sets a turn has to join for another.
+PARTNERS, WORTH = 2, 0.02
+#: A column that no table has.
+SET = "attestra set of row"
 #: Words of 64 bits of the filter that tells which rows are needed again.
 FILTER_WORDS = 1 << 20
 _SEEDS = np.random.default_rng(61).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -113,24 +124,30 @@ def allocation(band: int) -> tuple[int, int, int]:
     best: tuple[float, tuple[int, int, int]] = (math.inf, (1, 0, 1))
     for one in range(0, min(12, max(need) // 2 + 1) + 1):
         left = [max(0, h - 2 * one + 1) for h in need]
-        wide = 4
-        for exact in sorted({0} if not max(left) else {max(max(left), round(own * c)) for c in (0.3, 0.35, 0.4, 0.5, 0.65, 0.8)}):
+        shares = [0] if not max(left) else sorted({max(max(left), round(own * c)) for c in (0.3, 0.35, 0.4, 0.5, 0.65, 0.8, 1, 2, 4, 8, 16)})
+        for exact, wide in ((e, w) for e in shares for w in (1, 2, 4)):
             slots = exact + one * wide
             if not slots:
                 continue
             cost = 0.0
             for size, k in zip(sizes, left):
                 load = size / slots
-                empty = math.exp(-load)
-                cost += k * (1 + 2 * empty) + one * (1 + wide * load)
-                if k:
-                    spread = math.sqrt(exact * empty * (1 - empty)) + 0.5
-                    cost += 300 * 0.5 * math.erfc((exact * (1 - empty) - k) / spread / math.sqrt(2))
+                cost += k + one * (1 + wide * load) + 4 * one * math.exp(-wide * load)
+                if k:  # the common signatures of empty segments, where fewer than k are filled
+                    cost += 1000 * _few_filled(size, exact, load, k)
+            cost += exact / 1000 / own
             if cost < best[0]:
                 best = (cost, (exact, one, wide))
     return best[1]
 
 
+def _few_filled(size: int, exact: int, load: float, k: int) -> float:
+    """About how likely fewer than k of the exact segments are filled, `load` shingles a segment."""
+    empty = math.exp(-load)
+    spread = math.sqrt(exact * empty * (1 - empty)) + 0.5
+    return 0.5 * math.erfc((min(exact * (1 - empty), size) - k) / spread / math.sqrt(2))
+
+
 @np.errstate(over="ignore")
 def signatures(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Signed 64-bit signatures of a set: any similar set that is not equal shares one."""
@@ -205,19 +222,78 @@ def _signed(batches: Iterator[pa.RecordBatch], hot: bytes) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "codes"])
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 1 to 2 times as many cells (64 at least, a power of two): 2 bits a shingle at most."""
+    cells = max(64, 2 << (len(shingles).bit_length() - 1 if len(shingles) else 0))
+    odd = np.bincount((mix(shingles ^ _SEEDS[15]) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> bytes:
+    """The bitmap of the same set with fewer cells."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "little") ^ int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+    return bits
+
+
+def may_link(n: int, m: int, a: bytes, b: bytes) -> bool:
+    """False only for sets, of n and m shingles with bitmaps a and b, that differ too much for a link."""
+    size = min(len(a), len(b))
+    differ = (int.from_bytes(folded(a, size), "little") ^ int.from_bytes(folded(b, size), "little")).bit_count()
+    return differ <= n + m - 2 * -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
 def _wanted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """set_id and shingles of the sets that may be needed, once for each set in a partition."""
+    """set_id, n, bitmap and shingles of the sets that may be needed, once for each set in a partition."""
     met: set[int] = set()
     for batch in batches:
-        keys, sets = [], []
+        keys, sizes, maps, sets = [], [], [], []
         for s in shingle_sets(batch.column("text")):
             if len(s):
                 key = set_id(s)
                 if key not in met and bits[key % FILTER_WORDS] >> (key // FILTER_WORDS % 64) & 1:
                     met.add(key)
                     keys.append(key)
+                    sizes.append(len(s))
+                    maps.append(bitmap(s))
                     sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["set_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(sets, pa.binary())], ["set_id", "n", "bitmap", "shingles"])
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the bitmaps don't rule out."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n_u", "n_v", "map_u", "map_v")))
+        yield batch.select(["u", "v"]).filter(pa.array([may_link(*r) for r in rows], pa.bool_()))
+
+
+def _block(rows: pa.Table, most: int | None) -> pa.Table:
+    """Pairs of one block pair's rows (set_id, n, component, half, bitmap): of different components, not ruled out, of different halves if there are two.
+
+    most: for each set only so many, those whose bitmaps differ least for their sizes.
+    """
+    keys, n, component, half = (np.asarray(rows.column(c)) for c in ("set_id", "n", "component", "half"))
+    maps = rows.column("bitmap").to_pylist()
+    size = min(len(m) for m in maps)
+    cells = np.frombuffer(b"".join(folded(m, size) for m in maps), np.uint64).reshape(len(maps), -1)
+    two = half.min() != half.max()
+    us, vs = [], []
+    for i in range(len(keys)):
+        total = n + n[i]
+        over = np.bitwise_count(cells ^ cells[i]).sum(1, dtype=np.int64) - (total - 2 * -(-PERCENT * total // (100 + PERCENT)))
+        fit = (over <= 0) & (component != component[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+        if two:
+            fit &= half != half[i]
+        if most is None:
+            fit &= keys > keys[i]
+        at = np.flatnonzero(fit)
+        if most is not None and len(at) > most:
+            at = at[np.lexsort((keys[at], over[at]))[:most]]
+        us.append(np.full(len(at), keys[i]))
+        vs.append(keys[at])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,40 +325,49 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (code, set_id, n, component) of those codes that stand in more than one component."""
+    """Rows (code, set_id, n, component, size) of those codes, of `size` rows, that stand in more than one component."""
     placed = shared.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("code", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    split = placed.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("code")
+    split = placed.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a != b").select("code", "size")
     return placed.join(split, "code")
 
 
-def _open_pairs(rows: DataFrame) -> tuple[int, int]:
-    """Sets in open rows, and how many pairs of them, counted once a code, lie in different components."""
-    parts = rows.groupBy("code", "component").agg(F.count("*").alias("n")).groupBy("code").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    pairs = parts.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()[0]
-    return rows.select("set_id").distinct().count(), int(pairs)
+def _by_join(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (u, v) of small groups, in different components, that the bitmaps don't rule out. A group of SMALL rows has half as many pairs a row."""
+    rows = rows.where(F.col("size") <= SMALL)
+    one, two = (rows.select("code", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "component"))) for s in ("u", "v"))
+    like = (F.col("set_id_u") < F.col("set_id_v")) & (F.col("component_u") != F.col("component_v")) & (100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
+    pairs = one.join(two, "code").where(like).select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v")).distinct()
+    for s in ("u", "v"):
+        pairs = pairs.join(known.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"map_{s}")), s)
+    return map_arrow(pairs.select("u", "v", "n_u", "n_v", "map_u", "map_v"), _fitting, "u long, v long", BATCH)
 
 
-def _some_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """For each open set PARTNERS sets of other components, each next to it in a code's rows in a random order of this turn."""
-    order = F.xxhash64("set_id", "code", F.lit(turn))
-    by = Window.partitionBy("code").orderBy(order, "set_id")
-    near = rows.withColumn("v", F.lag("set_id").over(by)).withColumn("m", F.lag("n").over(by)).withColumn("other", F.lag("component").over(by))
-    fit = near.where((F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))).select(F.col("set_id").alias("u"), "v").distinct()
-    pick = Window.partitionBy("u").orderBy(F.xxhash64("u", "v", F.lit(turn)), "v")
-    return fit.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= PARTNERS).select("u", "v")
+def _by_blocks(rows: DataFrame, known: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (u, v) of large groups: a group's blocks of BLOCK rows meet in pairs, each pair of blocks in a task's own group of rows.
 
+    most: partners of a set in a block, likeliest first; None: all that the bitmaps don't rule out.
+    """
+    rows = rows.where(F.col("size") > SMALL).join(known.select("set_id", "bitmap"), "set_id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("set_id", "code"), blocks).cast("int")
+    met = rows.withColumn("half", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = met.select("code", F.least("half", "other").alias("one"), F.greatest("half", "other").alias("two"), "set_id", "n", "component", "half", "bitmap")
+    return keyed.groupBy("code", "one", "two").applyInArrow(lambda table: _block(table, most), "u long, v long").distinct()
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row.
 
-    Documents without words, null texts included, link with nothing. Rows with null doc_id
-    take part, but never name a component while another id is there. Rows that repeat a
-    doc_id are documents of their own that share a name. Other columns stay behind.
-    """
+def _one_code(rows: DataFrame, turn: int) -> DataFrame:
+    """Of each set in large groups one row: that of its largest group at first, later any."""
+    first = F.struct(F.col("size") if turn == 1 else F.lit(0), F.xxhash64("code", F.lit(turn)), F.col("code"))
+    some = rows.where(F.col("size") > SMALL).groupBy("set_id").agg(F.max(first).alias("pick"), F.first("n").alias("n"), F.first("component").alias("component"))
+    some = some.select(F.col("pick.code").alias("code"), "set_id", "n", "component")
+    sizes = some.groupBy("code").agg(F.count("*").alias("size"))
+    return some.join(sizes, "code").withColumn("size", F.greatest("size", F.lit(SMALL + 1)))
+
+
+def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_id, codes) of every row, and (set_id, component) of the sets that link with others."""
     import zlib
 
-    spark = docs.sparkSession
-    root = shared_dir(spark)
     base = id_and_text(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     hot = np.zeros(1 << HOT_BITS, np.uint8)
@@ -295,60 +380,94 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = sets.where(F.col("codes").isNotNull()).select(F.explode("codes").alias("code"), "set_id", F.col("n_shingles").alias("n"))
     grouped = rows.withColumn("before", F.lag("set_id").over(by_code)).withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole))
     shared = materialise(grouped.where((F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("code", "set_id", "n", "least"), root, "shared")
+    release(docs.sparkSession)
 
     bits = _filter_bits(shared.select("set_id").distinct(), "set_id")
-    known = map_arrow(base.select("text"), _wanted, "set_id long, shingles binary", BATCH, bits=bits)
-    known = materialise(known.groupBy("set_id").agg(F.first("shingles").alias("shingles")), root, "known")
+    known = map_arrow(base.select("text"), _wanted, "set_id long, n long, bitmap binary, shingles binary", BATCH, bits=bits)
+    known = materialise(known.groupBy("set_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("shingles").alias("shingles")), root, "known")
+    release(docs.sparkSession)
 
-    first = shared.where("set_id != least").groupBy("set_id", "least").count().groupBy("set_id").agg(F.max_by("least", F.struct("count", "least")).alias("v")).select(F.col("set_id").alias("u"), "v")
-    tried = materialise(first, root, "tried")
+    first = shared.where("set_id != least").groupBy("set_id", "least").count().groupBy("set_id").agg(F.max_by("least", F.struct("count", "least")).alias("v"))
+    tried = materialise(first.select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v")).distinct(), root, "tried")
     linked = materialise(_links(tried, known), root, "linked")
     groups = components(linked, root, "groups")
-    rows = materialise(_open(shared, groups), root, "open")
-    size, pairs = _open_pairs(rows)
-    turn = 0
-    while pairs > FEW * size:  # joining random partners first leaves few pairs to try one by one
+    shared = shared.drop("least")
+    turn, joined = 0, 1.0
+    while joined > WORTH:  # large groups: joining the likeliest first leaves few pairs to try one by one
+        rows = _open(shared, groups)
         turn += 1
-        more = materialise(_links(_some_pairs(rows, turn), known), root, f"linked-{turn}")
-        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, f"groups-{turn}")
-        rows = materialise(_open(shared, groups), root, f"open-{turn}")
-        before, (size, pairs) = pairs, _open_pairs(rows)
-        if pairs > 0.8 * before:
+        rows = materialise(_one_code(rows, turn), root, f"open-{turn}")
+        size = rows.count()
+        if not size:
             break
+        likely = _by_blocks(rows, known, PARTNERS).join(tried, ["u", "v"], "left_anti")
+        likely = materialise(likely, root, f"likely-{turn}")
+        more = materialise(_links(likely, known), root, f"linked-{turn}")
+        joined = more.count() / size
+        tried = tried.unionByName(likely)
+        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, f"groups-{turn}")
+        release(docs.sparkSession)
 
-    one, two = (rows.select("code", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "component"))) for s in ("u", "v"))
-    like = (F.col("set_id_u") < F.col("set_id_v")) & (F.col("component_u") != F.col("component_v")) & (100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
-    rest = one.join(two, "code").where(like).select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v")).distinct()
-    seen = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = materialise(_links(rest.join(seen, ["u", "v"], "left_anti"), known), root, "more")
+    rows = materialise(_open(shared, groups), root, "open")
+    rest = _by_join(rows, known).unionByName(_by_blocks(rows, known, None)).distinct().join(tried, ["u", "v"], "left_anti")
+    more = materialise(_links(rest, known), root, "more")
     final = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, "final")
+    return sets, final.select(F.col("node").alias("set_id"), "component")
+
 
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row.
+
+    Documents without words, null texts included, link with nothing. Rows with null doc_id
+    take part, but never name a component while another id is there. Rows that repeat a
+    doc_id are documents of their own that share a name. Other columns stay behind.
+    """
+    sets, final = _sets(docs, shared_dir(docs.sparkSession))
     least = sets.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("own"))
-    named = least.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = least.join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = named.groupBy("component").agg(F.min("own").alias("component_id"))
     of_set = named.join(names, "component").select("set_id", "component_id")
     return sets.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id names its component, and those without a doc_id.
+    """One row of each component of similar documents, all columns: of those of the least doc_id (null ids last) the set of least hash, of its rows the least text.
 
-    Only rows that a filter of fixed size takes for dropped ones are joined; the others go through.
+    Documents without words stay, every one. Only rows that a filter of fixed size takes for
+    rows of a group are joined and compared; the others go through.
     """
-    drop = jaccard_components(docs).where("doc_id != component_id").select(F.col("doc_id").cast("long").alias("gone")).distinct()
-    drop = materialise(drop, shared_dir(docs.sparkSession), "drop")
-    bits = _filter_bits(drop, "gone")
+    spark = docs.sparkSession
+    root = shared_dir(spark)
+    sets, final = _sets(docs, root)
+    grouped = sets.where(F.col("set_id").isNotNull()).groupBy("set_id", "doc_id").agg(F.count("*").alias("n")).join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "set_id")).alias("best")
+    several = grouped.groupBy("component").agg(best, F.sum("n").alias("n")).where("n > 1").select("component", "best")
+    placed = materialise(grouped.join(several, "component").select("set_id", F.col("doc_id").alias("id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("set_id") == F.col("best.set_id"))).alias("stays")), root, "grouped")
+    bits = _filter_bits(placed.select(F.xxhash64("id").alias("at")), "at")
 
-    def part(maybe: bool):
+    names = docs.columns
+
+    def part(maybe: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                hit = [i is not None and bool(bits[i % FILTER_WORDS] >> (i // FILTER_WORDS % 64) & 1) for i in ids]
-                yield batch.filter(pa.array([x == maybe for x in hit], pa.bool_()))
-
-        return map_arrow(docs, run, docs.schema)
-
-    return part(False).unionByName(part(True).join(drop, F.col("doc_id") == F.col("gone"), "left_anti"))
+                at = np.asarray(batch.column(batch.num_columns - 1))
+                hit = (bits[at % FILTER_WORDS] >> (at // FILTER_WORDS % 64)) & 1
+                some = batch.filter(pa.array(hit == maybe, pa.bool_()))
+                cols = some.columns[:-1]
+                if maybe:
+                    texts = some.column("text").fill_null("")
+                    cols.append(pa.array([set_id(s) if len(s) else None for s in shingle_sets(texts)], pa.int64()))
+                yield pa.RecordBatch.from_arrays(cols, [*names, *([SET] if maybe else [])])
+
+        schema = StructType([*docs.schema.fields, *([StructField(SET, LongType())] if maybe else [])])
+        return map_arrow(docs.withColumn(SET, F.xxhash64("doc_id")), run, schema, BATCH)
+
+    rows = part(True).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(SET).alias("key"))
+    rows = rows.withColumn("id", F.col("row.doc_id"))
+    known = rows.join(placed.select(F.col("set_id").alias("key_of"), F.col("id").alias("id_of"), "stays"), (F.col("key") == F.col("key_of")) & F.col("id").eqNullSafe(F.col("id_of")), "left")
+    alone = known.where(F.col("stays").isNull()).select("row.*")
+    first = known.where("stays").groupBy("key", "id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+    return part(False).unionByName(alone).unionByName(first)
 
 
 def op6_universe_partition(spark: SparkSession, sf_dir: str) -> DataFrame:

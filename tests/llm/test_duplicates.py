@@ -240,3 +240,35 @@ def test_pipeline(spark, tmp_path, rows):
     assert {r.doc_id for r in one.collect()} == {i for i, (_, c) in comp.items() if c == i} and one.columns == docs.columns
     assert {r.doc_id for r in stages["packing"](spark, one, str(tmp_path)).collect()} == {r.doc_id for r in one.collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == one.count()
+
+
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    """The same classes whether pairs come from joins or from blocks, of one or more of a group."""
+    monkeypatch.setattr(universe_partition, "SMALL", 6)
+    monkeypatch.setattr(universe_partition, "BLOCK", 16)
+    test_components_of_a_large_group(spark)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bitmaps_rule_out_no_link(seed):
+    rng = np.random.default_rng(seed)
+    for size in (2, 5, 9, 30, 64, 100, 127, 129, 500, 3000):
+        x = np.unique(rng.integers(1, 2**63, size, dtype=np.uint64))
+        for drop in range(0, len(x) // 3 + 1, max(1, len(x) // 40)):
+            y = np.unique(np.concatenate((x[drop:], rng.integers(1, 2**63, drop // 2, dtype=np.uint64))))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                assert universe_partition.may_link(len(x), len(y), universe_partition.bitmap(x), universe_partition.bitmap(y))
+    x, y = (np.unique(rng.integers(1, 2**63, 300, dtype=np.uint64)) for _ in "ab")
+    assert not universe_partition.may_link(300, 300, universe_partition.bitmap(x), universe_partition.bitmap(y))
+
+
+def test_one_row_of_a_group_stays(spark):
+    """By document and text, not by id: repeated ids, null ids and clashing columns included."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, text, "a"), (5, text, "a"), (7, text + " x", "b"), (7, "a text of its own that stays with its id", "c"), (None, text, "d"), (None, None, "e"), (None, "", "f"), (2, "", "g"), (2, "", "g"), (None, "alone w", "h"), (None, "alone w", "h")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, code string, set_id long")
+    got = universe_partition.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.code for r in got.collect()) == ["a", "c", "e", "f", "g", "g", "h"]
+    assert universe_partition.keep_one(docs.limit(0)).count() == 0
