@@ -22,17 +22,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return ties.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none where another node's edge ends."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(links: DataFrame, root: str, name: str) -> DataFrame:
     """(node, component): component is the least node reachable. links: u, v of one orderable type.
 
     Nodes without a link have no row. Each round is written to the shared folder, so a lost
-    executor costs a round at most. Rounds end when the edges are stars already.
+    executor costs a round at most. Rounds end when the edges are stars.
     """
     edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), root, f"{name}-0")
-    done, turn, mark = False, 0, None
-    while not done:
+    turn = 0
+    while not _stars(edges):
         turn += 1
         edges = materialise(_star(_star(edges, True), False), root, f"{name}-{turn}")
-        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        done, mark = now == mark, now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,13 +9,13 @@ H - 2 * one + 1 of either set (in one order for all: rare shingles first, then l
 subset is common. How many segments of each kind a band has is allocated by cost.
 
 Sets that share a signature are candidates. Before the sets themselves are brought together,
-candidates are held against each other by parity bitmaps: each shingle flips one of some two bits a
+candidates are held against each other by parity bitmaps: each shingle flips one of one or two bits a
 shingle, so the bits that differ are never more than the shingles that differ, and pairs with
 too many are no links for certain. What is left is verified exactly, in this order: each set
-with the one that it shares most signatures with; in large groups of one signature the
-likeliest partners in other components, block by block, as long as that joins many; in the end
-every candidate pair that still is in two components. Groups are cut into blocks that meet in
-pairs, each in a task of its own, and only pairs that pass the bitmaps ever become rows.
+with the one that it shares most signatures with, and with the likeliest of its largest group;
+in the end every candidate pair that still is in two components, and as long as these are
+many, a few for each set. Large groups are cut into blocks that meet in pairs, each in a
+group of rows of its own, and only pairs that pass the bitmaps ever become rows, once each.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ HOT_BITS = 22
 #: Bytes of a batch: words, hashes and sets of its texts take some twenty times as much in a worker.
 BATCH = 2 << 20
 #: Rows of a signature up to which its pairs are made by a join; larger groups meet in blocks of so many rows.
-SMALL, BLOCK = 64, 512
-#: Likeliest partners that a set of a large group tries in a turn, and the share of its sets a turn has to join for another.
-PARTNERS, WORTH = 2, 0.02
+SMALL, BLOCK = 16, 512
+#: Partners that a set tries in a turn, and open pairs a set that are few enough to be tried all.
+PARTNERS, FEW = 2, 20
 #: A column that no table has.
 SET = "attestra set of row"
 #: Words of 64 bits of the filter that tells which rows are needed again.
@@ -269,9 +269,10 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block(rows: pa.Table, most: int | None) -> pa.Table:
-    """Pairs of one block pair's rows (set_id, n, component, half, bitmap): of different components, not ruled out, of different halves if there are two.
+    """Pairs of one block pair's rows (code, set_id, n, component, codes, half, bitmap): of different components, not ruled out, of different halves if there are two.
 
-    most: for each set only so many, those whose bitmaps differ least for their sizes.
+    most: for each set only so many, those whose bitmaps differ least for their sizes. Else
+    all, each in the first group (by code) that both sets are in.
     """
     keys, n, component, half = (np.asarray(rows.column(c)) for c in ("set_id", "n", "component", "half"))
     maps = rows.column("bitmap").to_pylist()
@@ -290,10 +291,17 @@ def _block(rows: pa.Table, most: int | None) -> pa.Table:
         at = np.flatnonzero(fit)
         if most is not None and len(at) > most:
             at = at[np.lexsort((keys[at], over[at]))[:most]]
-        us.append(np.full(len(at), keys[i]))
-        vs.append(keys[at])
+        us.append(np.full(len(at), i))
+        vs.append(at)
     u, v = np.concatenate(us), np.concatenate(vs)
-    return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+    if most is None and len(u):
+        lists = rows.column("codes").combine_chunks()
+        start, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        code = rows.column("code")[0].as_py()
+        own = [set(flat[start[i] : start[i + 1]][flat[start[i] : start[i + 1]] < code].tolist()) for i in range(len(keys))]
+        first = np.array([own[i].isdisjoint(own[j]) for i, j in zip(u.tolist(), v.tolist())])
+        u, v = u[first], v[first]
+    return pa.table({"u": pa.array(np.minimum(keys[u], keys[v]), pa.int64()), "v": pa.array(np.maximum(keys[u], keys[v]), pa.int64())})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +333,9 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows (code, set_id, n, component, size) of those codes, of `size` rows, that stand in more than one component."""
-    placed = shared.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("code", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    split = placed.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a != b").select("code", "size")
+    """Rows (code, set_id, n, size, component) of those codes that stand in more than one component."""
+    placed = shared.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select("code", "set_id", "n", "size", F.coalesce("component", "set_id").alias("component"))
+    split = placed.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("code")
     return placed.join(split, "code")
 
 
@@ -343,25 +351,26 @@ def _by_join(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _by_blocks(rows: DataFrame, known: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (u, v) of large groups: a group's blocks of BLOCK rows meet in pairs, each pair of blocks in a task's own group of rows.
+    """Pairs (u, v) of large groups: a group's blocks of BLOCK rows meet in pairs, each pair of blocks in a group of rows of its own.
 
-    most: partners of a set in a block, likeliest first; None: all that the bitmaps don't rule out.
+    most: partners of a set in each block of its largest group, likeliest first; None: all of all groups that the bitmaps don't rule out.
     """
-    rows = rows.where(F.col("size") > SMALL).join(known.select("set_id", "bitmap"), "set_id")
+    codes = F.sort_array(F.collect_list("code"))
+    largest = F.max(F.struct("size", "code"))
+    sets = rows.where(F.col("size") > SMALL).groupBy("set_id").agg((codes if most is None else F.array(largest["code"])).alias("codes"), F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list(F.struct("code", "size")).alias("of") if most is None else F.array(largest.alias("of")).alias("of"))
+    sets = sets.join(known.select("set_id", "bitmap"), "set_id").withColumn("of", F.explode("of"))
+    sets = sets.select("set_id", "n", "component", "codes", "bitmap", "of.code", "of.size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id", "code"), blocks).cast("int")
-    met = rows.withColumn("half", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    keyed = met.select("code", F.least("half", "other").alias("one"), F.greatest("half", "other").alias("two"), "set_id", "n", "component", "half", "bitmap")
-    return keyed.groupBy("code", "one", "two").applyInArrow(lambda table: _block(table, most), "u long, v long").distinct()
+    met = sets.withColumn("half", F.pmod(F.xxhash64("set_id", "code"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = met.select("code", F.least("half", "other").alias("one"), F.greatest("half", "other").alias("two"), "set_id", "n", "component", "codes", "half", "bitmap")
+    return keyed.groupBy("code", "one", "two").applyInArrow(lambda table: _block(table, most), "u long, v long")
 
 
-def _one_code(rows: DataFrame, turn: int) -> DataFrame:
-    """Of each set in large groups one row: that of its largest group at first, later any."""
-    first = F.struct(F.col("size") if turn == 1 else F.lit(0), F.xxhash64("code", F.lit(turn)), F.col("code"))
-    some = rows.where(F.col("size") > SMALL).groupBy("set_id").agg(F.max(first).alias("pick"), F.first("n").alias("n"), F.first("component").alias("component"))
-    some = some.select(F.col("pick.code").alias("code"), "set_id", "n", "component")
-    sizes = some.groupBy("code").agg(F.count("*").alias("size"))
-    return some.join(sizes, "code").withColumn("size", F.greatest("size", F.lit(SMALL + 1)))
+def _some(pairs: DataFrame, turn: int) -> DataFrame:
+    """PARTNERS of each set's open pairs, in a random order of this turn."""
+    both = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
+    order = F.xxhash64("u", "v", F.lit(turn))
+    return both.groupBy("node").agg(*(F.min_by(F.struct("u", "v"), F.xxhash64(order, F.lit(k))).alias(f"p{k}") for k in range(PARTNERS))).select(F.explode(F.array(*(f"p{k}" for k in range(PARTNERS)))).alias("p")).select("p.u", "p.v").distinct()
 
 
 def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
@@ -378,8 +387,8 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     by_code = Window.partitionBy("code").orderBy("set_id")
     whole = Window.partitionBy("code")
     rows = sets.where(F.col("codes").isNotNull()).select(F.explode("codes").alias("code"), "set_id", F.col("n_shingles").alias("n"))
-    grouped = rows.withColumn("before", F.lag("set_id").over(by_code)).withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole))
-    shared = materialise(grouped.where((F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("code", "set_id", "n", "least"), root, "shared")
+    grouped = rows.withColumn("before", F.lag("set_id").over(by_code)).withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole)).withColumn("size", F.count("*").over(whole))
+    shared = materialise(grouped.where((F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("code", "set_id", "n", "least", "size"), root, "shared")
     release(docs.sparkSession)
 
     bits = _filter_bits(shared.select("set_id").distinct(), "set_id")
@@ -388,31 +397,28 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     release(docs.sparkSession)
 
     first = shared.where("set_id != least").groupBy("set_id", "least").count().groupBy("set_id").agg(F.max_by("least", F.struct("count", "least")).alias("v"))
-    tried = materialise(first.select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v")).distinct(), root, "tried")
+    likely = _by_blocks(shared.withColumn("component", F.col("set_id")), known, PARTNERS)
+    tried = materialise(first.select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v")).unionByName(likely).distinct(), root, "tried")
     linked = materialise(_links(tried, known), root, "linked")
+    release(docs.sparkSession)
     groups = components(linked, root, "groups")
-    shared = shared.drop("least")
-    turn, joined = 0, 1.0
-    while joined > WORTH:  # large groups: joining the likeliest first leaves few pairs to try one by one
-        rows = _open(shared, groups)
+    turn, before, last = 0, math.inf, False
+    while not last:
         turn += 1
-        rows = materialise(_one_code(rows, turn), root, f"open-{turn}")
-        size = rows.count()
-        if not size:
-            break
-        likely = _by_blocks(rows, known, PARTNERS).join(tried, ["u", "v"], "left_anti")
-        likely = materialise(likely, root, f"likely-{turn}")
-        more = materialise(_links(likely, known), root, f"linked-{turn}")
-        joined = more.count() / size
-        tried = tried.unionByName(likely)
-        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, f"groups-{turn}")
+        rows = materialise(_open(shared, groups), root, f"open-{turn}")
+        rest = _by_join(rows, known).unionByName(_by_blocks(rows, known, None)).distinct().join(tried, ["u", "v"], "left_anti")
+        rest = materialise(rest, root, f"rest-{turn}")
+        pairs = rest.count()
+        sets_open = rest.select(F.explode(F.array("u", "v")).alias("node")).distinct().count() if pairs else 0
+        last = pairs <= FEW * sets_open or pairs > 0.8 * before
+        before = pairs
+        some = rest if last else materialise(_some(rest, turn), root, f"some-{turn}")
+        more = materialise(_links(some, known), root, f"linked-{turn}")
+        tried = tried.unionByName(some)
+        if not more.isEmpty():
+            groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, f"groups-{turn}")
         release(docs.sparkSession)
-
-    rows = materialise(_open(shared, groups), root, "open")
-    rest = _by_join(rows, known).unionByName(_by_blocks(rows, known, None)).distinct().join(tried, ["u", "v"], "left_anti")
-    more = materialise(_links(rest, known), root, "more")
-    final = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, "final")
-    return sets, final.select(F.col("node").alias("set_id"), "component")
+    return sets, groups.select(F.col("node").alias("set_id"), "component")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
