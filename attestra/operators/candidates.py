@@ -24,22 +24,29 @@ DEBUG = {
     "source_specific_rule": ["source_hits"],
 }
 
+DEBUG_TYPES = {"shortest_path_len": "int", "common_neighbor_count": "int", "common_neighbors": "array<string>", "evidence_count": "int", "evidence_ids": "array<string>", "attribute_similarity": "double", "shared_tokens": "array<string>", "source_hits": "array<string>"}
+
 
 def multi_route(kg: dict[str, DataFrame], specs: DataFrame) -> DataFrame:
     """Ranked candidates of all relations: the best max_candidates of each, numbered through.
 
     candidate_id, ord, relation, head, tail, candidate_score, recall_sources, debug.
     """
+    kg = kg | {"triples": cut(kg["triples"], "triples"), "evidence": cut(kg["evidence"], "evidence")}  # several routes read them
     ends = tuple(routes.legal_ends(kg["entities"], specs, side) for side in ("head", "tail"))
-    edges = graph.ranked_edges(kg["triples"])
-    shared = routes.shared_evidence(kg["evidence"], ends)
-    found = {
-        "path_rule": routes.by_path(edges, ends),
-        "common_neighbor": routes.by_common_neighbor(kg["triples"], ends),
-        "evidence_cooccurrence": routes.by_cooccurrence(shared),
-        "attribute_similarity": routes.by_attributes(kg["entities"], ends),
-        "source_specific_rule": routes.by_source(shared, kg["evidence"]),
+    edges = cut(graph.ranked_edges(kg["triples"]).select("a", "b"), "edges")
+    run = {
+        "path_rule": lambda e: routes.by_path(edges, e),
+        "common_neighbor": lambda e: routes.by_common_neighbor(kg["triples"], e),
+        "evidence_cooccurrence": lambda e: routes.by_cooccurrence(routes.shared_evidence(kg["evidence"], e)),
+        "attribute_similarity": lambda e: routes.by_attributes(kg["entities"], e),
+        "source_specific_rule": lambda e: routes.by_source(routes.shared_evidence(kg["evidence"], e), kg["evidence"]),
     }
+    found = {}
+    for route, of in run.items():
+        for relations in routes.alike(specs, route):  # relations of the same types share one run
+            some = tuple(e.where(F.col("relation").isin(relations)) for e in ends)
+            found[route] = found[route].unionByName(of(some)) if route in found else of(some)
     return rank_routes(found, kg, specs, ends)
 
 
@@ -47,7 +54,8 @@ def rank_routes(found: dict[str, DataFrame], kg: dict[str, DataFrame], specs: Da
     """Sum of the routes' scores for every pair that a route of its relation hits, and the best of them."""
     enabled = F.broadcast(specs.select("relation", "recall_routes", "allow_existing", "max_candidates", "ord"))
     narrow = [df.withColumn("route", F.lit(name)).select(*KEY, "route", "score", F.struct(*DEBUG[name]).alias(name)) for name, df in found.items()]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), narrow).join(enabled, "relation").where(F.array_contains("recall_routes", F.col("route")))
+    none = kg["triples"].where("false").select(*KEY, F.lit("").alias("route"), dec(0).alias("score"))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), narrow, none).join(enabled, "relation").where(F.array_contains("recall_routes", F.col("route")))
     summed = every.groupBy(*KEY).agg(F.sum("score").alias("score"), F.collect_set("route").alias("hit"), *(F.first(n, ignorenulls=True).alias(n) for n in found))
     taken = kg["triples"].select(*KEY).distinct().join(F.broadcast(specs.where("not allow_existing").select("relation")), "relation", "left_semi")
     sparse = cut(summed.join(taken, KEY, "left_anti"), "hits")
@@ -62,7 +70,8 @@ def rank_routes(found: dict[str, DataFrame], kg: dict[str, DataFrame], specs: Da
     top = pairs.withColumn("candidate_score", total).withColumn("recall_sources", sources).withColumn("k", F.row_number().over(best)).where(F.col("k") <= F.col("max_candidates"))
     kinds = kg["entities"].select("id", "type")
     top = top.join(kinds.select(F.col("id").alias("head"), F.col("type").alias("head_type")), "head", "left").join(kinds.select(F.col("id").alias("tail"), F.col("type").alias("tail_type")), "tail", "left")
-    debug = F.struct(F.when(typed, F.col("head_type")).alias("head_type"), F.when(typed, F.col("tail_type")).alias("tail_type"), *(F.col(f"{r}.{c}").alias(c) for r in found for c in DEBUG[r]))
+    said = [F.col(f"{r}.{c}").alias(c) if r in found else F.lit(None).cast(DEBUG_TYPES.get(c, "string")).alias(c) for r in DEBUG if r != "schema_type" for c in DEBUG[r]]
+    debug = F.struct(F.when(typed, F.col("head_type")).alias("head_type"), F.when(typed, F.col("tail_type")).alias("tail_type"), *said)
     through = Window.orderBy("ord", "k")  # max_candidates rows a relation at most
     return top.withColumn("seq", F.row_number().over(through)).select(F.format_string("cand_%06d", "seq").alias("candidate_id"), "seq", *KEY, "candidate_score", "recall_sources", debug.alias("debug"))
 

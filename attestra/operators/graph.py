@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.text import normal
@@ -82,12 +82,31 @@ def ranked_edges(triples: DataFrame, entities: DataFrame | None = None) -> DataF
     return both.groupBy("a", "b").agg(F.min("rank").alias("rank"))
 
 
+def in_reach(edges: DataFrame, tails: DataFrame, hops: int) -> list[DataFrame]:
+    """For 0 to hops: the nodes (id) from which a walk of so many edges ends at a tail. One table of nodes each, whatever the number of pairs."""
+    pair = edges.select("a", "b")
+    out = [tails.select("id").distinct()]
+    for _ in range(hops):
+        out.append(pair.join(out[-1].withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct())
+    return out
+
+
+def _either(nodes: list[DataFrame]) -> DataFrame:
+    out = nodes[0]
+    for n in nodes[1:]:
+        out = out.unionByName(n)
+    return out.distinct()
+
+
 def simple_paths(edges: DataFrame, heads: DataFrame, tails: DataFrame, max_hops: int = 3) -> DataFrame:
     """(head, tail, hops, path, ranks) of all simple paths of 1 to max_hops edges from heads to tails.
 
-    Each hop joins the walks so far with the edges; the last edge is taken from those into tails only.
+    Each hop joins the walks so far with the edges; the last edge is taken from those into tails
+    only, and earlier ones only to nodes from which the walk can still end at a tail.
     """
     last = edges.join(tails.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "rank")
+    near = in_reach(edges, tails, max_hops - 1)
+    onward = [_either(near[1 : max_hops - hop + 1]) for hop in range(1, max_hops)]
     walks = heads.select(F.col("id").alias("head"), F.col("id").alias("at"), F.array("id").alias("path")).distinct()
     walks = walks.withColumn("ranks", F.array().cast(f"array<{edges.schema['rank'].dataType.simpleString()}>"))
     found: DataFrame | None = None
@@ -100,7 +119,7 @@ def simple_paths(edges: DataFrame, heads: DataFrame, tails: DataFrame, max_hops:
         ended = step(walks, last).select("head", F.col("at").alias("tail"), F.lit(hop).alias("hops"), "path", "ranks")
         found = ended if found is None else found.unionByName(ended)
         if hop < max_hops:
-            walks = step(walks, edges)
+            walks = step(walks, edges.join(onward[hop - 1].withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "rank"))
     assert found is not None
     return found
 
@@ -119,17 +138,20 @@ def shortest_paths(paths: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, heads: DataFrame, tails: DataFrame, max_hops: int = 3) -> DataFrame:
     """(head, tail, hops): least number of edges between legal ends, up to max_hops.
 
-    Walks meet in the middle and forget their nodes: after each hop only distinct pairs go on.
+    Walks forget their nodes: after each hop only distinct pairs go on, and only to nodes from
+    which a tail is still in reach, so nothing grows with pairs that no path joins.
     """
     pair = edges.select("a", "b").distinct()
     ends = pair.join(tails.select(F.col("id").alias("b")), "b", "left_semi")
+    near = in_reach(pair, tails, max_hops - 1)
     front = heads.select(F.col("id").alias("head"), F.col("id").alias("at")).distinct()
     found: DataFrame | None = None
     for hop in range(1, max_hops + 1):
         hit = front.join(ends, F.col("at") == F.col("a")).select("head", F.col("b").alias("tail"), F.lit(hop).alias("hops")).where("head != tail").distinct()
         found = hit if found is None else found.unionByName(hit)
         if hop < max_hops:
-            front = front.join(pair, F.col("at") == F.col("a")).select("head", F.col("b").alias("at")).distinct()
+            onward = pair.join(_either(near[1 : max_hops - hop + 1]).withColumnRenamed("id", "b"), "b", "left_semi")
+            front = front.join(onward, F.col("at") == F.col("a")).select("head", F.col("b").alias("at")).distinct()
     assert found is not None
     return found.groupBy("head", "tail").agg(F.min("hops").alias("hops"))
 
@@ -138,7 +160,3 @@ def evidence_of_triples(triples: DataFrame, evidence: DataFrame) -> DataFrame:
     """(triple_id, evidence_id, place) of the evidence that triples cite and that exists."""
     cited = triples.select(F.col("id").alias("triple_id"), F.posexplode("evidence_ids").alias("place", "evidence_id"))
     return cited.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi")
-
-
-def degree(edges: DataFrame, side: Column | str = "a") -> DataFrame:
-    return edges.groupBy(side).agg(F.count("*").alias("degree"))

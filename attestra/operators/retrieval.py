@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from attestra.functions.text import CONFLICT_WORDS, cosine, entity_text, tokens
+from attestra.functions.text import CONFLICT_WORDS, entity_text, tokens
 from attestra.operators.checks import links
 from attestra.operators.routes import dec
 from attestra.sources.shared import cut
 
+#: Rows of a block of queries or of the corpus in dense recall.
+BLOCK = 2048
 Encoder = Callable[[pd.Series], pd.Series]
 Reranker = Callable[[pd.Series, pd.Series], pd.Series]
 
@@ -82,6 +87,19 @@ def keyword_scores(asked: DataFrame, evidence: DataFrame, entities: DataFrame, t
     return full.select("candidate_id", "id", F.bround(score, 4).cast("double").alias("retrieval_score"), *(f.alias(n) for n, f in flags.items()), "preferred", "reliability").where("retrieval_score > 0")
 
 
+def pair_scores(pairs: DataFrame, asked: DataFrame, evidence: DataFrame, texts: DataFrame) -> DataFrame:
+    """keyword_scores() of given pairs (candidate_id, id) alone; texts: id, full_text."""
+    words = tokens(F.concat_ws(" ", "relation_text", "head_text", "tail_text"))
+    c = asked.select("candidate_id", "head", "tail", "preferred_sources", words.alias("asked_words"))
+    e = evidence.select("id", "source", "reliability", "related_entities").join(texts, "id")
+    rows = pairs.join(c, "candidate_id").join(e, "id")
+    has = {s: F.coalesce(F.array_contains("related_entities", F.col(s)), F.lit(False)) for s in ("head", "tail")}
+    preferred = F.coalesce(F.array_contains("preferred_sources", F.col("source")), F.lit(False))
+    overlap = F.size(F.array_intersect("asked_words", tokens(F.col("full_text"))))
+    score = weight(overlap, has["head"], has["tail"], preferred, F.col("reliability"))
+    return rows.select("candidate_id", "id", F.bround(score, 4).cast("double").alias("retrieval_score"), has["head"].alias("has_head"), has["tail"].alias("has_tail"), preferred.alias("preferred"), "reliability")
+
+
 def reasons(head: Column, tail: Column, preferred: Column, reliability: Column) -> Column:
     flags = [F.when(head, F.lit("contains_head")), F.when(tail, F.lit("contains_tail")), F.when(preferred, F.lit("preferred_source")), F.when(reliability >= 0.85, F.lit("high_reliability"))]
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
@@ -112,14 +130,40 @@ def encode(texts: DataFrame, column: str, encoder: Encoder, out: str = "vector")
 def dense_recall(asked: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(candidate_id, id, dense_score): the k of the corpus (id, vector) that are closest to each query (candidate_id, vector).
 
-    The stated queries meet the corpus block by block; each block keeps its k best first.
+    The stated queries meet the corpus in blocks of both: each pair of blocks is one group of
+    rows and keeps its k best of each query, so neither side is broadcast or held whole. Scores are
+    rounded to six decimals; equal ones rank by id.
     """
-    q = F.broadcast(asked.select("candidate_id", F.col("vector").alias("q")))
-    scored = corpus.select("id", "vector").crossJoin(q).select("candidate_id", "id", cosine(F.col("q"), F.col("vector")).alias("dense_score"))
+    q, c = cut(asked.select("candidate_id", "vector"), "queries"), cut(corpus.select("id", "vector"), "vectors")
+    n_q, n_c = (max(1, -(-df.count() // BLOCK)) for df in (q, c))
+    own = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(own("candidate_id", n_q).alias("qb"), every(n_c).alias("cb"), F.col("candidate_id").alias("key"), "vector")
+    right = c.select(every(n_q).alias("qb"), own("id", n_c).alias("cb"), F.col("id").alias("key"), "vector")
+    out = StructType([StructField("candidate_id", q.schema["candidate_id"].dataType), StructField("id", c.schema["id"].dataType), StructField("dense_score", DoubleType())])
+
+    def best(qs: pa.Table, cs: pa.Table) -> pa.Table:
+        if not (qs.num_rows and cs.num_rows):
+            return pa.table({"candidate_id": qs.column("key").slice(0, 0), "id": cs.column("key").slice(0, 0), "dense_score": pa.array([], pa.float64())})
+        cs = cs.sort_by("key")
+        a, b = (_units(t.column("vector")) for t in (qs, cs))
+        scores = np.round(a @ b.T, 6)
+        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(a)), at.shape[1])
+        return pa.table({"candidate_id": qs.column("key").take(pa.array(row)), "id": cs.column("key").take(pa.array(at.ravel())), "dense_score": pa.array(scores[row, at.ravel()])})
+
+    scored = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(best, out)
     w = Window.partitionBy("candidate_id").orderBy(F.desc("dense_score"), "id")
     return scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).drop("k")
 
 
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of unit length; a vector of zeros stays."""
+    v = np.array(vectors.to_pylist(), np.float64)
+    length = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(length > 0, length, 1)
+
+
 def hybrid_rank(asked: DataFrame, evidence: DataFrame, entities: DataFrame, encoder: Encoder, reranker: Reranker, top_k: int) -> DataFrame:
     """Dense recall of max(4 * top_k, 20), reranked by a cross-encoder; score: rerank + dense + keyword."""
     wide = max(top_k * 4, 20)
@@ -132,9 +176,11 @@ def hybrid_rank(asked: DataFrame, evidence: DataFrame, entities: DataFrame, enco
         for q, t in pairs:
             yield reranker(q, t)
 
-    keyword = keyword_scores(asked, evidence, entities, 10**9)
+    near = cut(near, "near")
+    keyword = pair_scores(near.select("candidate_id", "id"), asked, evidence, corpus.select("id", "full_text"))
     rows = near.join(asked.select("candidate_id", "query"), "candidate_id").join(corpus.select("id", "full_text"), "id").withColumn("rerank_score", rerank("query", "full_text")).join(keyword, ["candidate_id", "id"], "left")
-    score = F.bround(F.col("rerank_score") + F.col("dense_score") + F.coalesce("retrieval_score", F.lit(0.0)), 4)
+    exact = [c.cast("decimal(18,6)") for c in (F.col("rerank_score"), F.col("dense_score"), F.coalesce("retrieval_score", F.lit(0.0)))]
+    score = F.bround(exact[0] + exact[1] + exact[2], 4).cast("double")
     why = F.concat(F.coalesce(reasons(F.col("has_head"), F.col("has_tail"), F.col("preferred"), F.col("reliability")), F.array().cast("array<string>")), F.array(F.lit("dense_recall"), F.lit("cross_encoder_rerank")))
     ranked = rows.select("candidate_id", "id", score.alias("retrieval_score"), F.bround("dense_score", 6).alias("dense_score"), F.bround("rerank_score", 6).alias("rerank_score"), why.alias("retrieval_reasons"))
     return top(ranked, top_k)

@@ -13,7 +13,7 @@ from attestra.functions.text import attribute_tokens
 from attestra.operators import graph
 from attestra.operators.checks import links
 
-#: What source-specific rules ask of shared evidence: relation -> (sources, one of these texts, none for any).
+#: Fixed values. What source-specific rules ask of shared evidence: relation -> (sources, one of these texts, none for any).
 SOURCE_RULES: dict[str, tuple[list[str], list[str]]] = {
     "owned_by": (["ticket", "alert"], []),
     "depends_on": (["service_dependency"], []),
@@ -36,6 +36,21 @@ def legal_ends(entities: DataFrame, specs: DataFrame, side: str) -> DataFrame:
     return entities.select("id", "type").join(F.broadcast(types), "type").select("relation", "id", "type").distinct()
 
 
+def alike(specs: DataFrame, route: str) -> list[list[str]]:
+    """Relations that enable a route, those of the same types together. specs is configuration, so the driver reads it."""
+    groups: dict[tuple, list[str]] = {}
+    for r in specs.select("relation", "head_types", "tail_types", "recall_routes").collect():
+        if route in r.recall_routes:
+            groups.setdefault((frozenset(r.head_types), frozenset(r.tail_types)), []).append(r.relation)
+    return list(groups.values())
+
+
+def legal_pairs(ends: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(relation, head, tail) of every legal pair, for relations whose ends are few; the routes never build it."""
+    heads, tails = (e.select("relation", F.col("id").alias(n)) for e, n in zip(ends, ("head", "tail")))
+    return heads.join(tails, "relation").where("head != tail")
+
+
 def _with_relations(pairs: DataFrame, ends: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Pairs (head, tail, ...) by relation, for those relations that allow both ends."""
     heads, tails = (e.select("relation", F.col("id").alias(n)) for e, n in zip(ends, ("head", "tail")))

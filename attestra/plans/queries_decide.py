@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.config import Verification
-from attestra.functions.text import CONFLICT_WORDS, cosine, error_class, tokens
+from attestra.functions.text import error_class
 from attestra.operators import metrics, reason, retrieval, verify, writeback
 from attestra.plans import projection as P
 from attestra.plans.projection import sql
@@ -64,7 +65,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 EXPAND = """&
-c as (select o_orderkey as k, 'o' || o_orderkey as id from orders where o_orderkey % 50 = 0),
+c as (select o_orderkey as k, 'o' || o_orderkey as id from orders),
 ini as (select c.id as candidate_id, c.id as id, 1.0 as sc from c),
 rel as (select 'o' || o_orderkey as id, 'c' || o_custkey as entity_id, 0 as place from orders),
 named as (select ini.candidate_id, rel.place, rel.entity_id from ini join rel on rel.id = ini.id),
@@ -77,15 +78,23 @@ rk as (select *, row_number() over (partition by candidate_id order by place, se
 def _(s, d):
     t = P.Tables(s, d)
     e = t.orders.select(P.key("o", "o_orderkey").alias("id"), F.array(P.key("c", "o_custkey")).alias("related_entities"), F.col("o_orderkey").alias("seq"))
-    first = e.where("seq % 50 = 0").select(F.col("id").alias("candidate_id"), "id", F.lit(1.0).alias("retrieval_score"), F.lit(1).alias("retrieval_rank"), F.array(F.lit("asked")).alias("retrieval_reasons"))
+    first = e.select(F.col("id").alias("candidate_id"), "id", F.lit(1.0).alias("retrieval_score"), F.lit(1).alias("retrieval_rank"), F.array(F.lit("asked")).alias("retrieval_reasons"))
     got = retrieval.expand(first, e, 2)
     return got.select("candidate_id", "id", "retrieval_score", F.when(F.element_at("retrieval_reasons", 1) != "asked", F.element_at("retrieval_reasons", 2)).alias("via"))
 
 
-@query("ret_support_conflict_split", f"select doc_id, case when list_has_any({TOKENS.format('text')}, ['not', 'no', 'without', 'unknown', 'unassigned', 'unowned']) then 'conflict' when source = 'src0' then 'support' end as role from documents")
+SPLIT = f"""with r as (select doc_id, source, list_has_any({TOKENS.format('text')}, ['not', 'no', 'without', 'unknown', 'unassigned', 'unowned']) as against from documents)
+select doc_id, case when against then 'conflict' else 'support' end as role, case when against then null when source = 'src0' then 'mentions_head' else 'mentions_tail' end as hint from r where against or source in ('src0', 'src1')"""
+
+
+@query("ret_support_conflict_split", SPLIT)
 def _(s, d):
-    against = F.arrays_overlap(tokens(F.col("text")), F.array(*map(F.lit, CONFLICT_WORDS)))
-    return P.Tables(s, d).documents.select("doc_id", F.when(against, "conflict").when(F.col("source") == "src0", "support").alias("role"))
+    """Every document as evidence, that names its source, for a candidate between two sources."""
+    t = P.Tables(s, d)
+    e = _corpus(t).withColumn("related_entities", F.array("source"))
+    asked = s.createDataFrame([("q", "src0", "src1")], "candidate_id string, head string, tail string")
+    found = e.select(F.lit("q").alias("candidate_id"), "id", F.lit(1.0).alias("retrieval_score"))
+    return retrieval.split(asked, found, e).select(F.substring("id", 2, 20).cast("long").alias("doc_id"), "role", F.col("support_hint").alias("hint"))
 
 
 HAS = "select v.id, v.source, v.reliability, exists (select 1 from ve where ve.evidence_id = v.id and ve.entity_id = 's1') as h, exists (select 1 from ve where ve.evidence_id = v.id and ve.entity_id = 's2') as x from v"
@@ -107,34 +116,67 @@ def _(s, d):
     return _flagged(s, d).where("h or x").select("id", retrieval.support_hint(F.col("h"), F.col("x")).alias("hint"))
 
 
-@query("ret_context_pack", sql("v", "select c.id as candidate_id, 'likely ' || c.id || ' serves c' || o_custkey as statement, 'o' || o_orderkey as support from orders join (select 'o' || o_orderkey as id from orders where o_orderkey % 100 = 0) c on c.id = 'o' || o_orderkey"))
+PACK = EXPAND + """, f as (select candidate_id, id, 0.6 as sc from rk where k <= 3 union all select candidate_id, id, 1.0 from ini)
+select f.candidate_id, 'customer c' || o.o_custkey || ' likely serves nation n0' as statement, string_agg(f.id, ',' order by f.sc desc, f.id) as support, count(*) filter (f.sc = 1.0) as initial, count(*) as expanded
+from f join orders o on 'o' || o.o_orderkey = f.candidate_id group by f.candidate_id, o.o_custkey"""
+
+
+@query("ret_context_pack", sql("v", PACK))
 def _(s, d):
-    o = P.Tables(s, d).orders.where("o_orderkey % 100 = 0")
-    return o.select(P.key("o", "o_orderkey").alias("candidate_id"), F.concat_ws(" ", F.lit("likely"), P.key("o", "o_orderkey"), F.lit("serves"), P.key("c", "o_custkey")).alias("statement"), P.key("o", "o_orderkey").alias("support"))
+    """A candidate for every order: its customer and a nation; evidence is the order and what expansion adds."""
+    t = P.Tables(s, d)
+    none = F.lit("")
+    o = t.orders.select(P.key("o", "o_orderkey").alias("id"), F.array(P.key("c", "o_custkey")).alias("related_entities"), F.col("o_orderkey").alias("seq"), P.key("c", "o_custkey").alias("head"))
+    e = o.select("id", "related_entities", "seq", F.lit("order").alias("text"), none.alias("source"), none.alias("source_file"), none.alias("source_row_id"), none.alias("timestamp"), F.lit(0.8).alias("reliability"))
+    asked = o.select(
+        F.col("id").alias("candidate_id"), "seq", "head", F.lit("likely serves nation").alias("relation"), F.lit("n0").alias("tail"), F.concat(F.lit("customer "), "head").alias("head_text"), F.lit("n0").alias("tail_text"), none.alias("query"),
+        F.lit(1.0).alias("candidate_score"), F.array().cast("array<string>").alias("recall_sources"), none.alias("debug"), F.array().cast("array<string>").alias("preferred_sources"), none.alias("semantic_verification_criteria"),
+    )
+    first = asked.select("candidate_id", F.col("candidate_id").alias("id"), F.lit(1.0).alias("retrieval_score"), F.lit(1).alias("retrieval_rank"), F.array(F.lit("asked")).alias("retrieval_reasons"))
+    packed = retrieval.contexts(asked, retrieval.expand(first, e, 2), {"evidence": e, "entities": P.entities(t)}, 2)
+    meta = F.col("retrieval_metadata")
+    return packed.select("candidate_id", F.col("packed_context.candidate_statement").alias("statement"), F.array_join("packed_context.supporting_evidence_ids", ",").alias("support"), meta["initial_evidence_count"].cast("long").alias("initial"), meta["expanded_evidence_count"].cast("long").alias("expanded"))
 
 
 COS = "list_sum(list_transform(list_zip(cast(a.embedding as double[]), cast(b.embedding as double[])), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(cast(a.embedding as double[]), lambda z: z * z))) * sqrt(list_sum(list_transform(cast(b.embedding as double[]), lambda z: z * z))))"
-DENSE = f"with s as (select a.vec_id as q, b.vec_id as id, round_even({COS}, 6) as score from embeddings a cross join embeddings b where a.vec_id < 10), r as (select *, row_number() over (partition by q order by score desc, id) as k from s) "
+DENSE = f"with s as (select a.vec_id as q, b.vec_id as id, round_even({COS}, 6) as score from embeddings a cross join embeddings b where a.vec_id % 20 = 0), r as (select *, row_number() over (partition by q order by score desc, id) as k from s) "
 
 
 @query("ret_dense_topk", DENSE + "select q, id, round_even(score, 4) as score from r where k <= 10")
 def _(s, d):
-    t = P.Tables(s, d)
-    asked = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"))  # the stated queries
-    scored = t.embeddings.crossJoin(F.broadcast(asked)).select("q", F.col("vec_id").alias("id"), F.bround(cosine(F.col("a"), F.col("embedding")), 6).alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return scored.withColumn("k", F.row_number().over(w)).where("k <= 10").select("q", "id", F.bround("score", 4).alias("score"))
+    """The stated query set (every vector whose id is divisible by 20) against all vectors."""
+    vectors = P.Tables(s, d).embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "candidate_id")
+    return retrieval.dense_recall(asked, vectors, 10).select(F.col("candidate_id").alias("q"), "id", F.bround("dense_score", 4).alias("score"))
+
+
+def _letters(texts: pd.Series) -> pd.Series:
+    """A text's counts of five letters and a one."""
+    return texts.map(lambda t: [float(t.count(c)) for c in "aeoxz"] + [1.0])
+
+
+def _lengths(asked: pd.Series, texts: pd.Series) -> pd.Series:
+    return (asked.str.len() % 7 + texts.str.len() % 5) / 10.0
+
+
+VECTOR = "[" + ", ".join(f"cast(len({{0}}) - len(replace({{0}}, '{c}', '')) as double)" for c in "aeoxz") + ", 1.0::double]"
+HYBRID = f"""with q as (select item_id, text, 'h t none  head  tail  preferred sources src0' as frame, {TOKENS.format("text")} as ws, {VECTOR.format("text")} as v from benchmark),
+d as (select 'd' || doc_id as id, text || ' ' || source || '  ' as full_text, source, lang from documents),
+e as (select *, {TOKENS.format("full_text")} as ws, {VECTOR.format("full_text")} as v from d),
+s as (select q.item_id, e.id, round_even(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(q.v, lambda z: z * z))) * sqrt(list_sum(list_transform(e.v, lambda z: z * z)))), 6) as dense, len(q.text) as nq, len(e.full_text) as ne, len(list_intersect(q.ws, e.ws)) as own, e.source, e.lang from q cross join e),
+r as (select *, row_number() over (partition by item_id order by dense desc, id) as k from s),
+f as (select item_id, id, round_even(cast(dense as decimal(18,6)) + cast((nq % 7 + ne % 5) / 10.0 as decimal(18,6)) + cast(round_even(cast(own as decimal(18,6)) * 0.08 + case when source = 'src0' then 0.35 else 0.0 end + cast(case lang when 'en' then 0.9 else 0.6 end as decimal(12,6)) * 0.2, 4) as decimal(18,6)), 4) as sc from r where k <= 20),
+z as (select *, row_number() over (partition by item_id order by sc desc, id) as place from f)
+select cast(item_id as varchar) as q, id, cast(sc as double) as retrieval_score, place as retrieval_rank from z where place <= 5"""
 
 
-@query("ret_hybrid_rank", DENSE + "select q, id, round_even(score + case when label = q % 10 then 1.0 else 0.0 end + 0.2 * (id % 5), 4) as retrieval_score, row_number() over (partition by q order by round_even(score + case when label = q % 10 then 1.0 else 0.0 end + 0.2 * (id % 5), 4) desc, id) as retrieval_rank from r join embeddings e on e.vec_id = r.id where k <= 20")
+@query("ret_hybrid_rank", HYBRID)
 def _(s, d):
+    """Every benchmark item against every document: dense recall by letter counts, reranked by lengths, and keywords."""
     t = P.Tables(s, d)
-    asked = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"))
-    scored = t.embeddings.crossJoin(F.broadcast(asked)).select("q", F.col("vec_id").alias("id"), "label", F.bround(cosine(F.col("a"), F.col("embedding")), 6).alias("score"))
-    near = scored.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where("k <= 20")
-    total = F.bround(F.col("score") + F.when(F.col("label") == F.col("q") % 10, 1.0).otherwise(0.0) + F.lit(0.2) * (F.col("id") % 5), 4)
-    ranked = near.select(F.col("q").alias("candidate_id"), "id", total.alias("retrieval_score"))
-    return retrieval.top(ranked, 20).select(F.col("candidate_id").alias("q"), "id", "retrieval_score", F.col("retrieval_rank").cast("long").alias("retrieval_rank"))
+    asked = _asked(t).withColumn("query", F.col("head_text"))
+    ranked = retrieval.hybrid_rank(asked, *_plain_corpus(t), _letters, _lengths, 5)
+    return ranked.select(F.col("candidate_id").alias("q"), "id", "retrieval_score", F.col("retrieval_rank").cast("long").alias("retrieval_rank"))
 
 
 @query(

@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query("doc_sentences", "select 'sent_d' || doc_id || '_' || lpad(cast(i as varchar), 3, '0') as id, doc_id, len(s) as n_chars from (select doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as s from (select doc_id, string_split(text, chr(10)) as ls from documents)) where i < 1000")
+@query("doc_sentences", "select 'sent_d' || doc_id || '_' || lpad(cast(i as varchar), cast(greatest(3, len(cast(i as varchar))) as integer), '0') as id, doc_id, len(s) as n_chars from (select doc_id, unnest(range(0, len(ls))) as i, unnest(ls) as s from (select doc_id, string_split(text, chr(10)) as ls from documents))")
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = P.Tables(s, d).documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
     return rows.select(F.concat(F.lit("sent_d"), F.col("doc_id").cast("string"), F.format_string("_%03d", "i")).alias("id"), "doc_id", F.length("s").cast("long").alias("n_chars"))
@@ -98,7 +98,7 @@ def _(s, d):
 
 @query(
     "d_bm25",
-    f"""with q as (select item_id as q, unnest({TOKENS.format("text")}) as word from benchmark where item_id < 10),
+    f"""with q as (select item_id as q, unnest({TOKENS.format("text")}) as word from benchmark),
 c as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents),
 tf as (select id, word, count(*) as tf from c group by id, word), size as (select id, count(*) as size from c group by id),
 tot as (select count(*) as docs, avg(size) as mean from size), df as (select word, count(*) as df from tf group by word),
@@ -107,7 +107,7 @@ select q, id, score from (select *, row_number() over (partition by q order by s
 )
 def _(s, d):
     t = P.Tables(s, d)
-    q = t.benchmark.where("item_id < 10").select(F.col("item_id").alias("q"), F.explode(tokens(F.col("text"))).alias("word"))
+    q = t.benchmark.select(F.col("item_id").alias("q"), F.explode(tokens(F.col("text"))).alias("word"))
     c = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     scored = mining.bm25(q, c)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.config import Relation, relation_table
 from attestra.functions.text import attribute_tokens, entity_id, normal, tokens
 from attestra.operators import candidates, checks, graph, routes
 from attestra.operators.ingest import fold_entities, lookup
@@ -78,11 +79,12 @@ def _(s, d):
     return graph.at_entities(P.triples(t), P.entities(t).where("type = 'region'")).select("head", "relation", "tail")
 
 
-@query("kg_has_edge", sql("t", "select 's' || l_suppkey as head, 'supplies' as relation, 'p' || p_partkey as tail from (select distinct l_suppkey from lineitem where l_suppkey < 20) cross join (select p_partkey from part where p_partkey < 200) where ('s' || l_suppkey, 'supplies', 'p' || p_partkey) in (select (head, relation, tail) from t)".replace("('s' || l_suppkey, 'supplies', 'p' || p_partkey) in (select (head, relation, tail) from t)", "exists (select 1 from t where head = 's' || l_suppkey and relation = 'supplies' and tail = 'p' || p_partkey)")))
+@query("kg_has_edge", sql("t", "select distinct 's' || l_suppkey as head, 'supplies' as relation, 'p' || (l_partkey + 1) as tail from lineitem where exists (select 1 from t where head = 's' || l_suppkey and relation = 'supplies' and tail = 'p' || (l_partkey + 1))"))
 def _(s, d):
+    """Of every supplier's parts: does it supply the part after it, too?"""
     t = P.Tables(s, d)
-    pairs = t.lineitem.where("l_suppkey < 20").select("l_suppkey").distinct().crossJoin(t.part.where("p_partkey < 200").select("p_partkey"))
-    return graph.existing(pairs.select(P.key("s", "l_suppkey").alias("head"), F.lit("supplies").alias("relation"), P.key("p", "p_partkey").alias("tail")), P.triples(t), keep=True)
+    pairs = t.lineitem.select(P.key("s", "l_suppkey").alias("head"), F.lit("supplies").alias("relation"), F.concat(F.lit("p"), (F.col("l_partkey") + 1).cast("string")).alias("tail")).distinct()
+    return graph.existing(pairs, P.triples(t), keep=True)
 
 
 for _name, _dir, _body in (
@@ -100,15 +102,10 @@ def _(s, d):
     return graph.common_neighbors(graph.neighbors(P.triples(t)), e.where("type = 'customer'"), e.where("type = 'supplier'")).select("head", "tail", F.size("common").cast("long").alias("n"), joined("common").alias("common"))
 
 
-def _small(t: P.Tables) -> DataFrame:
-    """The geographic part of the graph."""
-    return P.triples(t).where("relation in ('in_nation', 'in_region')")
-
-
 @query(
     "kg_shortest_path_len",
-    sql("t e", """&
-g as (select head as a, tail as b from t where relation <> 'supplies' union select tail, head from t where relation <> 'supplies'),
+    sql("t u e", """&
+g as (select a, b from u),
 h1 as (select g.a as head, g.b as loc from g join e on e.id = g.a and e.type = 'region'),
 h2 as (select distinct head, g.b as loc from h1 join g on g.a = h1.loc),
 h3 as (select distinct head, g.b as loc from h2 join g on g.a = h2.loc),
@@ -118,20 +115,20 @@ select head, tail, min(hops) as hops from every join e on e.id = tail and e.type
 def _(s, d):
     t = P.Tables(s, d)
     e = P.entities(t)
-    return graph.reachable(graph.ranked_edges(_small(t)), e.where("type = 'region'").select("id"), e.where("type in ('nation', 'supplier')").select("id"))
+    return graph.reachable(graph.ranked_edges(P.triples(t)), e.where("type = 'region'").select("id"), e.where("type in ('nation', 'supplier')").select("id"))
 
 
 @query(
     "kg_simple_paths_le3",
-    sql("t e", """&
-g as (select head as a, tail as b from t where relation <> 'supplies' union select tail, head from t where relation <> 'supplies'),
+    sql("t u e", """&
+g as (select a, b from u),
 w as (select id as head, id as loc, [id] as path from e where type = 'nation' union all select w.head, g.b, list_append(w.path, g.b) from w join g on g.a = w.loc where len(w.path) <= 3 and not list_contains(w.path, g.b))
 select head, loc as tail, len(path) - 1 as hops, array_to_string(path, '>') as path from w join e on e.id = loc and e.type = 'nation' where len(path) > 1""", recursive=True),
 )
 def _(s, d):
     t = P.Tables(s, d)
     e = P.entities(t).where("type = 'nation'").select("id")
-    return graph.simple_paths(graph.ranked_edges(_small(t)), e, e).select("head", "tail", F.col("hops").cast("long").alias("hops"), F.array_join("path", ">").alias("path"))
+    return graph.simple_paths(graph.ranked_edges(P.triples(t)), e, e).select("head", "tail", F.col("hops").cast("long").alias("hops"), F.array_join("path", ">").alias("path"))
 
 
 def _ends(t: P.Tables, spark: SparkSession):
@@ -160,25 +157,41 @@ def _(s, d):
 
 @query(
     "kg_attribute_jaccard",
-    """with w as (select 'p' || p_partkey as id, list_distinct(regexp_extract_all(lower('p' || p_partkey || ' ' || p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9]+')) as ts from part),
-x as (select id, len(ts) as n, unnest(ts) as tok from w)
+    sql("e", """&
+w as (select id, type, list_filter(list_distinct(regexp_extract_all(lower(id || ' ' || name), '[a-z0-9]+')), lambda x: x not in ('svc', 'team', 'app', 'ip', 'host', 'prod')) as ts from e where type in ('supplier', 'customer')),
+x as (select id, type, len(ts) as n, unnest(ts) as tok from w)
 select a.id as head, b.id as tail, count(*) as shared, round_even(count(*) / (a.n + b.n - count(*)), 4) as jaccard
-from x a join x b on a.tok = b.tok and a.id <> b.id where cast(substr(a.id, 2) as bigint) < 20 group by a.id, b.id, a.n, b.n""",
+from x a join x b on a.tok = b.tok and a.type = 'supplier' and b.type = 'customer' group by a.id, b.id, a.n, b.n"""),
 )
 def _(s, d):
-    t = P.Tables(s, d)
-    e = t.part.select(P.key("p", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_brand", "p_type").alias("aliases"), F.create_map().cast("map<string,string>").alias("properties"), "p_partkey")
-    return routes.attribute_overlap(e, e.where("p_partkey < 20").select("id"), e.select("id")).select("head", "tail", F.size("shared").cast("long").alias("shared"), F.bround("jaccard", 4).alias("jaccard"))
+    """Every supplier against every customer."""
+    e = P.entities(P.Tables(s, d))
+    found = routes.attribute_overlap(e, e.where("type = 'supplier'").select("id"), e.where("type = 'customer'").select("id"))
+    return found.select("head", "tail", F.size("shared").cast("long").alias("shared"), F.bround("jaccard", 4).alias("jaccard"))
 
 
-@query("kg_schema_pairs_anti_existing", sql("t e", "select h.id as head, x.id as tail from e h cross join e x where h.type = 'supplier' and cast(substr(h.id, 2) as bigint) < 10 and x.type = 'part' and not exists (select 1 from t where t.head = h.id and t.relation = 'supplies' and t.tail = x.id)"))
+@query("kg_schema_pairs_anti_existing", sql("t e", "select h.id as head, x.id as tail from e h join e x on h.type = 'supplier' and x.type = 'nation' where not exists (select 1 from t where t.head = h.id and t.relation = 'in_nation' and t.tail = x.id)"))
 def _(s, d):
+    """All legal pairs of a relation whose tails are few, without those that exist."""
     t = P.Tables(s, d)
-    e = P.entities(t)
-    pairs = e.where("type = 'supplier' and seq < 10").select(F.col("id").alias("head")).crossJoin(e.where("type = 'part'").select(F.col("id").alias("tail"))).withColumn("relation", F.lit("supplies"))
+    specs = s.createDataFrame([("in_nation", ["supplier"], ["nation"])], "relation string, head_types array<string>, tail_types array<string>")
+    pairs = routes.legal_pairs(tuple(routes.legal_ends(P.entities(t), specs, side) for side in ("head", "tail")))
     return graph.existing(pairs, P.triples(t), keep=False).select("head", "tail")
 
 
+FILL = """&
+legal as (select h.id as head, x.id as tail from e h join e x on h.type = 'region' and x.type = 'nation'),
+free as (select head, tail, row_number() over (order by head, tail) as k from legal where not exists (select 1 from t where t.head = legal.head and t.relation = 'spans' and t.tail = legal.tail))
+select 'spans' as relation, head, tail, cast(0.05 as double) as candidate_score from free where k <= 20"""
+
+
+@query("kg_schema_fillers", sql("t e", FILL))
+def _(s, d):
+    """A relation that only the type route speaks for: its first legal pairs, which fill the top list."""
+    only = Relation("spans", "region spans nation", ["region"], ["nation"], [], ["schema_type"], "", "", 20)
+    return candidates.multi_route(P.graph(s, d), relation_table(s, [only])).select("relation", "head", "tail", "candidate_score")
+
+
 V1 = """&
 c as (select id from e where type = 'customer'), s as (select id from e where type = 'supplier'),
 h1 as (select distinct c.id as head, u.b as loc from c join u on u.a = c.id),
