@@ -90,7 +90,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text").cast(pa.large_string())))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")).cast(pa.large_string()))
         flat = lists.flatten()
         ends = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
         filled = np.asarray(pc.binary_length(flat)) > 0

@@ -62,7 +62,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts (A-Z lower-cased), and where each text's words end."""
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))
     words = lists.flatten()
     ends = np.asarray(lists.offsets)[1:] - lists.offsets[0].as_py()
     filled = np.asarray(pc.binary_length(words)) > 0

@@ -272,3 +272,16 @@ def test_one_row_of_a_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted(r.code for r in got.collect()) == ["a", "c", "e", "f", "g", "g", "h"]
     assert universe_partition.keep_one(docs.limit(0)).count() == 0
+
+
+def test_pieces_of_a_batch_are_the_same_rows():
+    """Sets do not depend on how a batch is cut."""
+    from attestra.llm.common import in_pieces
+
+    t = [" ".join(f"w{k * i % 91}" for k in range(5 + i)) for i in range(60)] + ["", None, "a  b", "x" * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string())], ["doc_id", "text"])
+    want = [s.tolist() for s in universe_partition.shingle_sets(batch.column("text").fill_null(""))]
+    parts = list(in_pieces(iter([batch]), 500))
+    assert len(parts) > 9 and [x for p in parts for x in p.column("doc_id").to_pylist()] == list(range(len(t)))
+    assert [s.tolist() for p in parts for s in universe_partition.shingle_sets(p.column("text").fill_null(""))] == want
+    assert [s.tolist() for s in universe_partition.shingle_sets(batch.slice(9, 30).column("text"))] == want[9:39]
