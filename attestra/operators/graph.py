@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.text import normal
+from attestra.sources.shared import cut
 
 
 def by_id(df: DataFrame, value: str) -> DataFrame:
@@ -86,8 +87,8 @@ def in_reach(edges: DataFrame, tails: DataFrame, hops: int) -> list[DataFrame]:
     """For 0 to hops: the nodes (id) from which a walk of so many edges ends at a tail. One table of nodes each, whatever the number of pairs."""
     pair = edges.select("a", "b")
     out = [tails.select("id").distinct()]
-    for _ in range(hops):
-        out.append(pair.join(out[-1].withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct())
+    for k in range(hops):
+        out.append(cut(pair.join(out[-1].withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id")).distinct(), f"reach-{k}"))
     return out
 
 
@@ -104,6 +105,7 @@ def simple_paths(edges: DataFrame, heads: DataFrame, tails: DataFrame, max_hops:
     Each hop joins the walks so far with the edges; the last edge is taken from those into tails
     only, and earlier ones only to nodes from which the walk can still end at a tail.
     """
+    edges = cut(edges, "edges")
     last = edges.join(tails.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "rank")
     near = in_reach(edges, tails, max_hops - 1)
     onward = [_either(near[1 : max_hops - hop + 1]) for hop in range(1, max_hops)]
@@ -141,7 +143,7 @@ def reachable(edges: DataFrame, heads: DataFrame, tails: DataFrame, max_hops: in
     Walks forget their nodes: after each hop only distinct pairs go on, and only to nodes from
     which a tail is still in reach, so nothing grows with pairs that no path joins.
     """
-    pair = edges.select("a", "b").distinct()
+    pair = cut(edges.select("a", "b").distinct(), "edges")
     ends = pair.join(tails.select(F.col("id").alias("b")), "b", "left_semi")
     near = in_reach(pair, tails, max_hops - 1)
     front = heads.select(F.col("id").alias("head"), F.col("id").alias("at")).distinct()
