@@ -21,6 +21,7 @@ group of rows of its own, and only pairs that pass the bitmaps ever become rows,
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from attestra.llm.common import id_and_text, map_arrow, materialise, read_table, release, shared_dir
+from attestra.llm.common import id_and_text, map_arrow, materialise, read_table, release, remove, shared_dir
 from attestra.llm.components import components
 
 #: Words of a shingle; documents link at 100 * |intersection| >= PERCENT * |union|.
@@ -339,15 +340,19 @@ def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return placed.join(split, "code")
 
 
+def _fitted(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) that the bitmaps don't rule out."""
+    for s in ("u", "v"):
+        pairs = pairs.join(known.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"map_{s}")), s)
+    return map_arrow(pairs.select("u", "v", "n_u", "n_v", "map_u", "map_v"), _fitting, "u long, v long", BATCH)
+
+
 def _by_join(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (u, v) of small groups, in different components, that the bitmaps don't rule out. A group of SMALL rows has half as many pairs a row."""
     rows = rows.where(F.col("size") <= SMALL)
     one, two = (rows.select("code", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "component"))) for s in ("u", "v"))
     like = (F.col("set_id_u") < F.col("set_id_v")) & (F.col("component_u") != F.col("component_v")) & (100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v"))
-    pairs = one.join(two, "code").where(like).select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v")).distinct()
-    for s in ("u", "v"):
-        pairs = pairs.join(known.select(F.col("set_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"map_{s}")), s)
-    return map_arrow(pairs.select("u", "v", "n_u", "n_v", "map_u", "map_v"), _fitting, "u long, v long", BATCH)
+    return _fitted(one.join(two, "code").where(like).select(F.col("set_id_u").alias("u"), F.col("set_id_v").alias("v")).distinct(), known)
 
 
 def _by_blocks(rows: DataFrame, known: DataFrame, most: int | None) -> DataFrame:
@@ -377,6 +382,7 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, set_id, codes) of every row, and (set_id, component) of the sets that link with others."""
     import zlib
 
+    spark = docs.sparkSession
     base = id_and_text(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     hot = np.zeros(1 << HOT_BITS, np.uint8)
@@ -389,18 +395,22 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     rows = sets.where(F.col("codes").isNotNull()).select(F.explode("codes").alias("code"), "set_id", F.col("n_shingles").alias("n"))
     grouped = rows.withColumn("before", F.lag("set_id").over(by_code)).withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole)).withColumn("size", F.count("*").over(whole))
     shared = materialise(grouped.where((F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("code", "set_id", "n", "least", "size"), root, "shared")
-    release(docs.sparkSession)
+    release(spark)
 
     bits = _filter_bits(shared.select("set_id").distinct(), "set_id")
     known = map_arrow(base.select("text"), _wanted, "set_id long, n long, bitmap binary, shingles binary", BATCH, bits=bits)
-    known = materialise(known.groupBy("set_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("shingles").alias("shingles")), root, "known")
-    release(docs.sparkSession)
+    known = known.groupBy("set_id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("shingles").alias("shingles"))
+    name = "attestra_sets_" + uuid.uuid4().hex  # bucketed, so pairs are brought to the sets, and the sets are never dealt out again
+    known.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "set_id").option("path", f"{root}/known").saveAsTable(name)
+    known = spark.table(name)
+    release(spark)
 
     first = shared.where("set_id != least").groupBy("set_id", "least").count().groupBy("set_id").agg(F.max_by("least", F.struct("count", "least")).alias("v"))
+    stars = _fitted(first.select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v")).distinct(), known)
     likely = _by_blocks(shared.withColumn("component", F.col("set_id")), known, PARTNERS)
-    tried = materialise(first.select(F.least("set_id", "v").alias("u"), F.greatest("set_id", "v").alias("v")).unionByName(likely).distinct(), root, "tried")
+    tried = materialise(stars.unionByName(likely).distinct(), root, "tried")
     linked = materialise(_links(tried, known), root, "linked")
-    release(docs.sparkSession)
+    release(spark)
     groups = components(linked, root, "groups")
     turn, before, last = 0, math.inf, False
     while not last:
@@ -417,7 +427,10 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
         tried = tried.unionByName(some)
         if not more.isEmpty():
             groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), root, f"groups-{turn}")
-        release(docs.sparkSession)
+        release(spark)
+    spark.sql(f"drop table {name}")
+    for folder in ("known", "shared", f"open-{turn}"):
+        remove(spark, f"{root}/{folder}")
     return sets, groups.select(F.col("node").alias("set_id"), "component")
 
 
@@ -448,7 +461,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     grouped = sets.where(F.col("set_id").isNotNull()).groupBy("set_id", "doc_id").agg(F.count("*").alias("n")).join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "set_id")).alias("best")
     several = grouped.groupBy("component").agg(best, F.sum("n").alias("n")).where("n > 1").select("component", "best")
-    placed = materialise(grouped.join(several, "component").select("set_id", F.col("doc_id").alias("id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("set_id") == F.col("best.set_id"))).alias("stays")), root, "grouped")
+    placed = materialise(grouped.join(several.select("component", "best"), "component").select("set_id", F.col("doc_id").alias("id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("set_id") == F.col("best.set_id"))).alias("stays"), "n"), root, "grouped")
     bits = _filter_bits(placed.select(F.xxhash64("id").alias("at")), "at")
 
     names = docs.columns
@@ -470,9 +483,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     rows = part(True).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(SET).alias("key"))
     rows = rows.withColumn("id", F.col("row.doc_id"))
-    known = rows.join(placed.select(F.col("set_id").alias("key_of"), F.col("id").alias("id_of"), "stays"), (F.col("key") == F.col("key_of")) & F.col("id").eqNullSafe(F.col("id_of")), "left")
-    alone = known.where(F.col("stays").isNull()).select("row.*")
-    first = known.where("stays").groupBy("key", "id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
+    known = rows.join(placed.select(F.col("set_id").alias("key_of"), F.col("id").alias("id_of"), "stays", "n"), (F.col("key") == F.col("key_of")) & F.col("id").eqNullSafe(F.col("id_of")), "left")
+    known = materialise(known.where("stays is null or stays").select("row", "key", "id", "stays", "n"), root, "maybe")
+    alone = known.where("stays is null or n = 1").select("row.*")
+    first = known.where("n > 1").groupBy("key", "id").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*")
     return part(False).unionByName(alone).unionByName(first)
 
 
