@@ -66,7 +66,7 @@ def _records(limit: int) -> list[list[int]]:
 
 
 def fingerprints(texts: list[str]) -> list[bytes]:
-    """PLACES bytes for each text; equal texts have equal ones."""
+    """PLACES bytes for each text; equal texts have equal ones. Places that the walk does not reach are 0, reached ones never."""
     n = len(texts)
     if not n:
         return []
@@ -89,10 +89,10 @@ def fingerprints(texts: list[str]) -> list[bytes]:
         g = ahead[: b - a]
         for d in (1, 2, 3):
             g = g * np.uint64(1_000_003) + ahead[d : b - a + d]
-        gram[a:b] = _mix(g) >> np.uint64(56)
+        gram[a:b] = 1 + _mix(g) % np.uint64(254)
     for d in range(4):
         kind[ends + d] = 255
-        gram[ends + d] = 0
+        gram[ends + d] = 255  # the end is a character of its own
     limit = 1 << int(max(PLACES, steps.max()) - 1).bit_length()
     records = _records(limit)
     wanted = sorted({j for r in records for j in r})
@@ -121,8 +121,9 @@ def fingerprints(texts: list[str]) -> list[bytes]:
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Share of places at which two fingerprints agree."""
-    return sum(x == y for x, y in zip(a, b)) / PLACES
+    """Share of places at which two fingerprints agree, of those that either walk has reached; empty texts reach the first and agree."""
+    reached = sum(x > 0 or y > 0 for x, y in zip(a, b))
+    return sum(x == y and x > 0 for x, y in zip(a, b)) / reached if reached else 1.0
 
 
 def allowed(n_chars: int) -> int:
