@@ -21,8 +21,10 @@ from attestra.llm.common import crc_mod, crc_mod_column, id_and_text, map_arrow,
 CHUNK, HOP, WIDTH, STRIDE, EMBED, FILTERS = 256, 192, 12, 4, 6, 24
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 LAGS, LAG_SAMPLES = range(2, 25), 8
-#: Bound of the fitting sample: labelled rows of each class, and chunks of each of their texts.
-ROWS_PER_CLASS, CHUNKS_PER_ROW = 700, 16
+#: Bound of the fitting sample: labelled rows of each class. Their texts are used whole.
+ROWS_PER_CLASS = 700
+#: Rows of a step end where their chunks get so many (a longer text is a step of its own).
+CHUNKS_PER_STEP = 1500
 EPOCHS, BATCH_ROWS, RATE, SEED = 8, 28, 0.004, 11
 THRESHOLD, FOLDS = 0.3, 5
 
@@ -124,8 +126,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> ByteCnn:
     step = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
-        for a in range(0, len(rows), BATCH_ROWS):
-            pick = order[a : a + BATCH_ROWS]
+        for pick in _steps(order, [len(c) for c, _ in rows]):
             net.bias = float(params["bias"][0])
             grads = _gradients(net, [rows[i][0] for i in pick], [repeats[i] for i in pick], labels[pick])
             step += 1
@@ -138,6 +139,20 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> ByteCnn:
     return net
 
 
+def _steps(order: np.ndarray, sizes: list[int]) -> Iterator[np.ndarray]:
+    """The rows in order, BATCH_ROWS at a time or fewer with many chunks."""
+    held: list[int] = []
+    chunks = 0
+    for i in order.tolist():
+        if held and (len(held) == BATCH_ROWS or chunks + sizes[i] > CHUNKS_PER_STEP):
+            yield np.array(held)
+            held, chunks = [], 0
+        held.append(i)
+        chunks += sizes[i]
+    if held:
+        yield np.array(held)
+
+
 def _shortened(chunks: np.ndarray, k: int) -> np.ndarray:
     """The first 8 to 160 bytes of a text: good texts may be short, and lack of evidence speaks for a text."""
     out = chunks[:1].copy()
@@ -170,28 +185,20 @@ def _gradients(net: ByteCnn, parts: list[np.ndarray], repeats: list[np.ndarray],
     return {"embed": embed, "filters": np.einsum("nf,nfi->if", back, seen), "offset": back.sum(axis=0), "weights": features.T @ error, "bias": error.sum(keepdims=True)}
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Up to `most` chunks of each text, evenly over the whole text."""
-    for batch in batches:
-        out = []
-        for text in text_bytes(batch):
-            c = chunks_of(text)
-            out.append(c[np.unique(np.linspace(0, len(c) - 1, most).astype(int))].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, rows_per_class: int = ROWS_PER_CLASS) -> ByteCnn:
-    """Fit on a bounded sample of the labelled rows outside fold 0: of each class the rows_per_class ids of least hash."""
-    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod_column(folds) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """Fit on a bounded sample of the labelled rows outside fold 0: of each class the rows_per_class ids of least hash.
+
+    Their whole texts take part; of rows that repeat an id, the least text.
+    """
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod_column(folds) != 0)).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     known = usable.join(docs.select("doc_id"), "doc_id", "left_semi")
     picks = [r for q in (0, 1) for r in known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class).collect()]
     if not picks:
         return fit([])
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in picks], usable.schema)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = map_arrow(text, _sampled, f"doc_id {usable.schema['doc_id'].dataType.simpleString()}, quality int, chunks binary", most=CHUNKS_PER_ROW)
-    rows = got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * rows_per_class).collect()
-    return fit([(np.frombuffer(bytes(r.chunks), np.uint8).reshape(-1, CHUNK), r.quality) for r in rows])
+    got = text.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").collect()  # 2 * rows_per_class at most
+    return fit([(chunks_of(r.text.encode()), r.quality) for r in got])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], net: ByteCnn, folds: int, threshold: float) -> Iterator[pa.RecordBatch]:
