@@ -38,6 +38,21 @@ TEMPLATES = {
     "mit-notice": "[[released]] under [[the terms of]] the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of <<8>> and associated documentation files [[the <<2>>]] to deal in <<4>> without restriction",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-3-clause-endorsement": "neither the name of <<12>> nor the names of <<3>> contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-disclaimer": "this software is provided by <<12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "mit-condition": "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software",
+    "mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement [[of third party rights]]",
+    "isc-grant": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zlib-grant": "this software is provided as is without any express or implied warranty in no event will the <<3>> be held liable for any damages arising from the use of this software",
+    "boost-1.0-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can obtain one at <<6>>]]",
+    "epl-2.0-header": "this program and the accompanying materials are made available under the terms of the eclipse public license [[v]] 2 0 [[which [[accompanies this distribution and]] is available at <<6>>]]",
+    "agpl-3.0-notice": "gnu affero general public license [[as published by the free software foundation]] [[either]] version 3",
+    "lgpl-notice": "gnu [[library]] lesser general public license [[as published by the free software foundation]] [[either]] version <<2>> of the license",
+    "gpl-no-warranty": "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "unlicense-grant": "this is free and unencumbered software released into the public domain [[anyone is free to copy modify publish use compile sell or distribute this software]]",
+    "cc0-1.0-notice": "[[creative commons]] cc0 1 0 [[universal]]",
+    "wtfpl-grant": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
 }
 
 #: Bytes of words, lower-cased; all others become spaces. Bytes of non-ASCII characters belong to words.
@@ -51,6 +66,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_TABLE).split()
 
 
+def _places(line: bytes, needle: bytes) -> Iterator[int]:
+    """Numbers of the words at which the needle stands; the line is counted once."""
+    at, seen, word = line.find(needle), 0, 0
+    while at >= 0:
+        word += line.count(b" ", seen, at)
+        seen = at
+        yield word
+        at = line.find(needle, at + 1)
+
+
 class TokenAutomaton:
     """A template as bit masks: bit i is set while the first i tokens are behind us."""
 
@@ -122,22 +147,15 @@ class LicenseScanner:
         line = b" " + b" ".join(words) + b" "
         base = []
         for needle, label in self.phrases:
-            at = line.find(needle)
-            while at >= 0:
-                base.append((line.count(b" ", 0, at), label))
-                at = line.find(needle, at + 1)
+            base += [(k, label) for k in _places(line, needle)]
         found = []
         for label, automaton in self.automata.items():
             if all(needle in line for needle in self.needles[label]):
                 for first in automaton.first:
-                    needle = b" " + first + b" "
-                    at = line.find(needle)
-                    while at >= 0:
-                        start = line.count(b" ", 0, at)
+                    for start in _places(line, b" " + first + b" "):
                         end = automaton.match(words, start)
                         if end is not None:
                             found.append((label, start, end))
-                        at = line.find(needle, at + 1)
         return len(words), sorted(base), sorted(found)
 
 
