@@ -4,8 +4,7 @@ Texts become ids, each text's followed by an end id. Whole windows are cut off l
 documents; what is left is placed, in order of arrival, into the partially filled window
 whose fill level makes the sum of the squared counts of levels least, or into a new one.
 Only a level array with the counts and the windows at each level is kept. When a partition
-ends, or too many windows are open, those still open are joined and cut anew, so all but
-one of them fill up.
+ends, the windows still open are joined and cut anew, so all but one of them fill up.
 """
 
 from __future__ import annotations
@@ -20,18 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from attestra.llm.bpe import added_tokens, default_vocabulary, load
 from attestra.llm.common import id_and_text, map_arrow, read_table
 
-WINDOW, END_ID, OPEN_WINDOWS = 1024, 0, 8192
+WINDOW, END_ID = 1024, 0
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 class LevelArray:
     """Open windows by fill level; pieces leave as soon as their window is full."""
 
-    def __init__(self, window: int, first_sequence: int, open_windows: int = OPEN_WINDOWS) -> None:
-        self.window, self.sequence, self.most = window, first_sequence, open_windows
+    def __init__(self, window: int, first_sequence: int) -> None:
+        self.window, self.sequence = window, first_sequence
         self.count = np.zeros(window + 1, np.int64)
         self.at: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
-        self.open = 0
         self.done: list[tuple] = []
 
     def _close(self, pieces: list[tuple]) -> None:
@@ -64,15 +62,11 @@ class LevelArray:
         pieces = self.at[level].pop() if level else []
         pieces.append((doc_id, start, ids, total))
         self.count[level] -= level > 0
-        self.open += level == 0
         if level + size == self.window:
-            self.open -= 1
             self._close(pieces)
             return
         self.at[level + size].append(pieces)
         self.count[level + size] += 1
-        if self.open > self.most:
-            self.finish()
 
     def finish(self) -> None:
         """Join the open windows' pieces and cut them at window boundaries."""
@@ -91,7 +85,6 @@ class LevelArray:
         if pieces:
             self._close(pieces)
         self.count[:] = 0
-        self.open = 0
 
 
 def _pack(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, window: int, end_id: int, added: dict[str, int]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +116,8 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID,
     """Pieces of all whole texts in sequences of `window` ids.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-    Null and empty texts are one end id. At most one sequence a partition and one each
-    time that OPEN_WINDOWS windows are open stays short of its window. Null ids stay null,
+    Null and empty texts are one end id. At most one sequence a partition stays short of
+    its window. A task holds the ids of its open windows, at most those of its partition. Null ids stay null,
     repeated rows are packed each; other columns stay behind; an empty table gives no piece.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
