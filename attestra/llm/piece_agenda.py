@@ -6,7 +6,7 @@ agenda of adjacent symbol pairs: the pair whose merged piece has the highest sco
 first, the leftmost at equal scores, until no pair is a piece; characters that are no
 piece become bytes. Short parts run through one array-wide agenda per Arrow batch, long
 ones through a heap. Every new part is checked against the sentencepiece library, batch by
-batch; where they ever differ, the library's ids are taken and counted in n_corrected.
+batch; a difference is an error, never a result.
 """
 
 from __future__ import annotations
@@ -147,7 +147,6 @@ class PieceCodec:
         self.decimal = [str(i).encode() for i in range(self.v.size)]
         self.ids: dict[str, bytes] = {}  # of each part, without its first space: comma-joined ids
         self.odd: dict[str, bytes] = {}  # decoded form of those parts that do not decode to themselves
-        self.corrected: set[str] = set()
 
     def cut(self, text: str) -> list[str]:
         """The text's parts, each without the one space before it (at the start: the model's own)."""
@@ -164,7 +163,7 @@ class PieceCodec:
         """Encode new parts, decode what came out, and check the ids against the library."""
         todo = list(parts - self.ids.keys())
         if todo and len(self.ids) + len(todo) > CACHE_PARTS and self.ids:
-            for kept in (self.ids, self.odd, self.corrected):
+            for kept in (self.ids, self.odd):
                 kept.clear()
             todo = list(parts)
         for at in range(0, len(todo), 20_000):
@@ -175,23 +174,22 @@ class PieceCodec:
             checked = self.v.library.encode([p.replace(SPACE, " ") for p in some], num_threads=1)
             for p, ids, true in zip(some, found, checked):
                 if ids != true and p:  # one space alone is no text for the library
-                    self.corrected.add(p)
-                    ids = true
+                    raise ValueError(f"the agenda's ids {ids} of {p!r} are not the library's {true}")
                 self.ids[p] = b",".join([self.decimal[i] for i in ids])
                 back = b"".join([self.v.raw[i] for i in ids])
                 if back != b" " + p.replace(SPACE, " ").encode():
                     self.odd[p] = back
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, int]]:
-        """Comma-joined ids, decoded text, corrected parts."""
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Comma-joined ids and decoded text."""
         cut = [self.cut(t) for t in texts]
         self.learn(set().union(*cut))
         for text, parts in zip(texts, cut):
-            if self.odd or self.corrected:
+            if self.odd:
                 back = b"".join([self.odd.get(p) or b" " + p.replace(SPACE, " ").encode() for p in parts])[1:]
             else:  # every part decodes to itself, and so does the text
                 back = text.replace(SPACE, " ").encode()
-            yield b",".join(map(self.ids.__getitem__, parts)), back, sum(p in self.corrected for p in parts) if self.corrected else 0
+            yield b",".join(map(self.ids.__getitem__, parts)), back
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model_path: str, digests: bool) -> Iterator[pa.RecordBatch]:
@@ -199,27 +197,26 @@ def _encode(batches: Iterator[pa.RecordBatch], model_path: str, digests: bool) -
     for batch in batches:
         ids = batch.column("doc_id")
         got = list(codec.encode_batch(batch.column("text").to_pylist()))
-        counts = pa.array([x.count(b",") + 1 if x else 0 for x, _, _ in got], pa.int64())
-        corrected = pa.array([x[2] for x in got], pa.int64())
+        counts = pa.array([x.count(b",") + 1 if x else 0 for x, _ in got], pa.int64())
         if digests:
             shas = [pa.array([hashlib.sha256(x[k]).hexdigest() for x in got], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([ids, counts, *shas, corrected], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"])
+            yield pa.RecordBatch.from_arrays([ids, counts, *shas], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         else:
-            lists = pa.array([np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x, _, _ in got], pa.list_(pa.int32()))
+            lists = pa.array([np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x, _ in got], pa.list_(pa.int32()))
             texts = pa.array([x[1].decode("utf-8", "replace") for x in got], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, counts, lists, texts, corrected], ["doc_id", "n_tokens", "ids", "decoded", "n_corrected"])
+            yield pa.RecordBatch.from_arrays([ids, counts, lists, texts], ["doc_id", "n_tokens", "ids", "decoded"])
 
 
 def encode_pieces(docs: DataFrame, model_path: str, digests: bool = False) -> DataFrame:
     """Ids and decoded text of every whole text, or their SHA-256 digests.
 
     One row per input row: doc_id, n_tokens, then ids and decoded (or ids_sha256 and
-    decoded_sha256), n_corrected. Null and empty texts have no ids and decode to the empty
+    decoded_sha256). Null and empty texts have no ids and decode to the empty
     text; null ids stay null; repeated rows give repeated results; other columns stay behind.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return map_arrow(id_and_text(docs), _encode, f"doc_id {kind}, n_tokens long, {rest}, n_corrected long", model_path=model_path, digests=digests)
+    return map_arrow(id_and_text(docs), _encode, f"doc_id {kind}, n_tokens long, {rest}", model_path=model_path, digests=digests)
 
 
 def op8_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
