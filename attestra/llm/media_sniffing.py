@@ -128,7 +128,8 @@ def check_png(b: bytes, at: int) -> Found | None:
         if kind == b"IEND":
             samples = None
             if shape and shape[2:] == (8, 0, 0, 0, 0):
-                raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(shape[1], shape[0] + 1)
+                size = shape[1] * (shape[0] + 1)
+                raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(packed), size + 1), np.uint8).reshape(shape[1], shape[0] + 1)
                 samples = raw[:, 1:].tobytes() if not raw[:, 0].any() else None
             return (pos - at, samples) if shape else None
     return None
