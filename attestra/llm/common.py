@@ -47,9 +47,12 @@ def _trim() -> Callable[[int], int]:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder for one operator run, in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; where that is unset (local tests) a folder under /tmp is used.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a local master (tests) gets a folder under
+    /tmp and a cluster an error, since its machines would each write to their own disk.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(root or '/tmp/checkpoints').rstrip('/')}/attestra-{uuid.uuid4().hex}"
 
 
