@@ -103,6 +103,32 @@ def test_chunks_cover_texts():
         assert (c.shape[0] - 1) * byte_cnn.HOP + byte_cnn.CHUNK >= n and c.shape[0] == 1 + max(0, -(-(n - 256) // 192))
 
 
+def test_score_by_plain_loops():
+    """One text's score, position by position."""
+    rng = np.random.default_rng(4)
+    net = byte_cnn.ByteCnn.fresh()
+    net.bias = 0.1
+    net.offset[:] = rng.normal(0, 0.1, len(net.offset))
+    for text in (b"", b"ab ab ab ab ab ab ab", bytes(rng.integers(32, 127, 700, dtype=np.uint8))):
+        pooled = []
+        for at in range(0, max(1, len(text) - byte_cnn.CHUNK + byte_cnn.HOP), byte_cnn.HOP):
+            chunk = text[at : at + byte_cnn.CHUNK].ljust(byte_cnn.CHUNK, b"\0")
+            best = [-math.inf] * byte_cnn.FILTERS
+            for p in range(byte_cnn.POSITIONS):
+                a = p * byte_cnn.STRIDE
+                share = 0
+                for lag in byte_cnn.LAGS:
+                    places = [a + byte_cnn.STRIDE * k for k in range(byte_cnn.LAG_SAMPLES)]
+                    share = max(share, sum(x + lag < byte_cnn.CHUNK and chunk[x] != 0 and chunk[x] == chunk[x + lag] for x in places if x < byte_cnn.CHUNK) if places[-1] < byte_cnn.CHUNK else 0)
+                seen = [v for b in chunk[a : a + byte_cnn.WIDTH] for v in net.embed[b]] + [share / byte_cnn.LAG_SAMPLES]
+                for f in range(byte_cnn.FILTERS):
+                    best[f] = max(best[f], float(np.dot(seen, net.filters[:, f])))
+            pooled.append([max(0.0, b + float(o)) for b, o in zip(best, net.offset)])
+        features = [sum(c) / len(c) for c in zip(*pooled)] + [max(c) for c in zip(*pooled)]
+        z = sum(x * float(w) for x, w in zip(features, net.weights)) + net.bias
+        assert net.scores([text])[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     net = byte_cnn.ByteCnn.fresh()

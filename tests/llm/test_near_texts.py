@@ -66,3 +66,41 @@ def test_links_reach_past_an_unlike_least_text(spark):
     prints = [(1, "11" * 4 + "00" * 60), (2, "11" * 4 + "22" * 60), (3, "11" * 4 + "22" * 59 + "33")]
     got = {(r.a, r.b) for r in edit_embedding.near_pairs(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()}
     assert got == {(2, 3)}
+
+
+def walked(text):
+    """A text's fingerprint by one walk, step by step."""
+    import numpy as np
+
+    mix = lambda v: int(edit_embedding._mix(np.array([v], np.uint64))[0])
+    moves, n = edit_embedding._moves(), len(text)
+    codes = [ord(c) for c in text] + [0] * 4
+    at, steps = 0, int(n * edit_embedding.STEPS_PER_CHAR) + 1
+    emitted = []
+    for j in range(steps):
+        if at < n:
+            g = 0
+            for d in range(4):
+                g = (g * 1_000_003 + codes[at + d]) % 2**64
+            emitted.append(1 + mix(g) % 254)
+            at += int(moves[j % edit_embedding.PERIOD, mix(codes[at]) % 255])
+        else:
+            emitted.append(255)
+    out = []
+    for k in range(edit_embedding.PLACES):
+        mine = [j for j in range(steps) if j % edit_embedding.PLACES == k]
+        best = min(mine, key=lambda j: mix(j + edit_embedding._SEED)) if mine else None
+        out.append(0 if best is None else emitted[best])
+    return bytes(out)
+
+
+def test_fingerprints_by_single_walks():
+    rng = random.Random(2)
+    texts = ["", "x", "hello", "日本 é", *("".join(rng.choice("abc dé") for _ in range(n)) for n in (30, 63, 64, 90, 400))]
+    assert edit_embedding.fingerprints(texts) == [walked(t) for t in texts]
+
+
+def test_unlike_short_texts_are_unlike():
+    for a, b in (("hello", "world"), ("x", "q"), ("the cat", "dogs are"), ("", "hello")):
+        f, g = edit_embedding.fingerprints([a, b])
+        assert edit_embedding.likeness(f, f) == 1 and edit_embedding.likeness(f, g) <= 0.35, (a, b)

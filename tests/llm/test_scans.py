@@ -26,6 +26,54 @@ def test_licenses(docs, rows, none, clash):
     assert license_templates.scan_licenses(none).count() == 0 and license_templates.scan_licenses(clash).count() == len(rows)
 
 
+def regions(template):
+    """All wordings of a template, replaceable words as '*', by brute force."""
+    out, rest = [], template
+    if "[[" in rest:
+        at = rest.index("[[")
+        depth, k = 0, at
+        while True:
+            if rest.startswith("[[", k):
+                depth, k = depth + 1, k + 2
+            elif rest.startswith("]]", k):
+                depth, k = depth - 1, k + 2
+                if not depth:
+                    break
+            else:
+                k += 1
+        return regions(rest[:at] + rest[at + 2 : k - 2] + rest[k:]) + regions(rest[:at] + rest[k:])
+    m = re.search(r"<<(\d+)>>", rest)
+    if m:
+        return [x for n in range(int(m[1]) + 1) for x in regions(rest[: m.start()] + "* " * n + rest[m.end() :])]
+    return [*out, rest.split()]
+
+
+def test_template_labels_by_brute_force(spark):
+    """Every template, in its longest and shortest wording, with a mandatory word changed, and between other words."""
+    templates = license_templates.TEMPLATES
+    forms = {k: regions(v) for k, v in templates.items()}
+    texts = []
+    for f in forms.values():
+        for words in (max(f, key=len), min(f, key=len)):
+            said = [w if w != "*" else f"x{i}" for i, w in enumerate(words)]
+            texts += [" ".join(said), "some " + ", ".join(said).upper() + " more", " ".join(w if i != len(said) - 1 else "other" for i, w in enumerate(said))]
+
+    def accepts(words, form):
+        return any(all(b in ("*", a) for a, b in zip(words[i:], form)) for i in range(len(words) - len(form) + 1))
+
+    got = by_id(license_templates.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        words = re.findall("[a-z0-9]+", t.lower())
+        want = {k for k, f in forms.items() if any(accepts(words, x) for x in f)}
+        assert {m.label for m in got[i].matches} == want, t
+
+
+def test_a_long_text_of_one_phrase(spark):
+    """Counting is linear: above a megabyte of nothing but places."""
+    r = license_templates.scan_licenses(spark.createDataFrame([(1, "mit license " * 100_000)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (200_000, 100_000, 0, 199_998)
+
+
 def test_template_regions():
     a = license_templates.TokenAutomaton("start [[may be]] of <<2>> end")
     ok = lambda s: a.match(s.encode().split(), 0) is not None
@@ -72,7 +120,7 @@ def test_pieces(docs, rows, none):
     digest = by_id(piece_agenda.encode_pieces(docs, path, digests=True))
     for i, t, *_ in rows:
         ids = sp.encode(t or "")
-        assert list(got[i].ids) == ids and got[i].decoded == sp.decode(ids) and got[i].n_corrected == 0
+        assert list(got[i].ids) == ids and got[i].decoded == sp.decode(ids)
         assert digest[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert digest[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
     assert piece_agenda.encode_pieces(none, path).count() == 0
@@ -103,3 +151,40 @@ def test_carving_and_broken_media(kind):
     found = media_sniffing.sniff(b"BM RIFF junk P5 " + medium + b"rest" + medium)
     assert [(k, n) for k, _, n, _ in found] == [(kind, len(medium))] * 2 and found[0][3] == b"ab " * 128
     assert media_sniffing.sniff(medium[:-1]) == [] and media_sniffing.sniff(b"") == []
+
+
+def test_media_query(spark, docs, rows, tmp_path):
+    """All columns of the query, from its registered function, against plain computations."""
+    from attestra.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_id(queries.QUERIES["op10_media_sniffing"](spark, str(tmp_path)))
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        kind = media_sniffing.STORED[zlib.crc32(payload) % 5]
+        medium = media_sniffing.WRITERS[kind](payload)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(medium), hashlib.sha256(medium).hexdigest())
+        assert r.feature.startswith(f"type={kind};declared=") and r.feature.endswith(f";mean={sum(payload) / len(payload):.4f}")
+    assert media_sniffing.sniff_media(media_sniffing.store_media(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_license_templates", "op2_token_scan", "op3_katz_backoff", "op4_line_windows", "op5_byte_cnn", "op7_level_packing", "op8_piece_agenda", "op9_edit_embedding"])
+def test_registered_queries_take_awkward_tables(spark, clash, none, tmp_path, name):
+    """Columns named as the operators' own, null and repeated ids, null and empty texts, a text above a megabyte; and no rows."""
+    from attestra.llm import queries
+
+    long = "word " * 5000 + "x" * 30_000 if name != "op8_piece_agenda" else "word " * 20_000
+    more = spark.createDataFrame([(3, long * 10, "en", "s", 1, 1, "z", [1]), (3, "", None, None, 0, 1, "z", [1]), (3, "", None, None, 0, 1, "z", [1]), (None, None, None, None, None, 2, None, None)], clash.schema)
+    table = clash.unionByName(more).selectExpr("*", "1 as score", "'c' as codes", "2L as chunk", "3 as part", "'t' as labels", "4 as ordinal", "5 as kind", "6 as path")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)], "doc_id long, quality int, toxic int")
+    for folder, rows in (("some", table), ("none", table.limit(0))):
+        rows.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / folder / "labels.parquet"))
+    n = table.count()
+    got = queries.QUERIES[name](spark, str(tmp_path / "some"))
+    assert got.count() >= n if name == "op7_level_packing" else got.count() == n
+    assert queries.QUERIES[name](spark, str(tmp_path / "none")).count() == 0
