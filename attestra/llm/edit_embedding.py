@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.common import id_and_text, map_arrow, materialise, read_table, release, shared_dir
@@ -261,6 +261,7 @@ def _with_halves(docs: DataFrame) -> DataFrame:
     result = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_sha256 string, halves array<long>"
     root = shared_dir(spark)
     rows = materialise(map_arrow(dealt, _walks, f"{result}, kind string, part long, text string"), root, "walks")
+    del dealt
     release(spark)
     parts = [r.part for r in rows.where("kind = 'first'").select("part").orderBy("part").collect()]  # one a partition
     follow = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part long, next_part long")
@@ -291,7 +292,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, prints, halves = (batch.column(c).to_pylist() for c in ("n_chars", "fingerprint", "halves"))
         found = [h + (band_codes(bytes.fromhex(f)) if k >= BANDS_FROM else []) for k, f, h in zip(n, prints, halves)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "turn", "n_chars")), pa.array(found, pa.list_(pa.int64()))], ["node", "turn", "n_chars", "codes"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["node", "n_chars", "codes"])
 
 
 def _edits(n: str) -> str:
@@ -332,8 +333,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     rows = _with_halves(docs)
     nodes = rows.groupBy("text_sha256", "fingerprint", "n_chars", "halves").agg(F.min("doc_id").alias("doc_id"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), root, "nodes")
-    coded = map_arrow(nodes.select("node", F.xxhash64("text_sha256").alias("turn"), "n_chars", "fingerprint", "halves"), _coded, "node long, turn long, n_chars long, codes array<long>")
-    members = coded.select("node", "turn", "n_chars", F.explode("codes").alias("code"))
+    release(spark)
+    coded = map_arrow(nodes.select("node", "n_chars", "fingerprint", "halves"), _coded, "node long, n_chars int, codes array<long>")
+    members = coded.select("node", "n_chars", F.explode("codes").alias("code"))
     close = F.expr(f"abs(n_u - n_v) <= {_edits('greatest(n_u, n_v)')}")
 
     def end(frame: DataFrame, x: str) -> DataFrame:
@@ -342,8 +344,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     def pairs(found: DataFrame) -> DataFrame:
         return found.where(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    first = members.groupBy("code").agg(F.min(F.struct("turn", "node", "n_chars")).alias("first"), F.count("*").alias("n")).where("n > 1").select("code", F.col("first.node").alias("u"), F.col("first.n_chars").alias("n_u"))
-    shared = materialise(members.drop("turn").join(first, "code"), root, "shared")
+    of_code = Window.partitionBy("code")  # the members are dealt out once
+    met = members.withColumn("first", F.min(F.struct("node", "n_chars")).over(of_code)).withColumn("size", F.count("*").over(of_code)).where("size > 1")
+    shared = materialise(met.select("code", "node", "n_chars", F.col("first.node").alias("u"), F.col("first.n_chars").alias("n_u")), root, "shared")
     release(spark)
     stars = materialise(pairs(shared.withColumnsRenamed({"node": "v", "n_chars": "n_v"}).where("u != v")), root, "stars")
     links = _verified(stars, nodes, docs, root, "stars")
