@@ -270,10 +270,10 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block(rows: pa.Table, most: int | None) -> pa.Table:
-    """Pairs of one block pair's rows (code, set_id, n, component, codes, half, bitmap): of different components, not ruled out, of different halves if there are two.
+    """Pairs of one block pair's rows (set_id, n, component, codes, half, bitmap): of different components, not ruled out, of different halves if there are two.
 
     most: for each set only so many, those whose bitmaps differ least for their sizes. Else
-    all, each in the first group (by code) that both sets are in.
+    all, each in the first group that both sets are in; codes are a set's groups before this one.
     """
     keys, n, component, half = (np.asarray(rows.column(c)) for c in ("set_id", "n", "component", "half"))
     maps = rows.column("bitmap").to_pylist()
@@ -298,8 +298,7 @@ def _block(rows: pa.Table, most: int | None) -> pa.Table:
     if most is None and len(u):
         lists = rows.column("codes").combine_chunks()
         start, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-        code = rows.column("code")[0].as_py()
-        own = [set(flat[start[i] : start[i + 1]][flat[start[i] : start[i + 1]] < code].tolist()) for i in range(len(keys))]
+        own = [set(flat[start[i] : start[i + 1]].tolist()) for i in range(len(keys))]
         first = np.array([own[i].isdisjoint(own[j]) for i, j in zip(u.tolist(), v.tolist())])
         u, v = u[first], v[first]
     return pa.table({"u": pa.array(np.minimum(keys[u], keys[v]), pa.int64()), "v": pa.array(np.maximum(keys[u], keys[v]), pa.int64())})
@@ -364,7 +363,7 @@ def _by_blocks(rows: DataFrame, known: DataFrame, most: int | None) -> DataFrame
     largest = F.max(F.struct("size", "code"))
     sets = rows.where(F.col("size") > SMALL).groupBy("set_id").agg((codes if most is None else F.array(largest["code"])).alias("codes"), F.first("n").alias("n"), F.first("component").alias("component"), F.collect_list(F.struct("code", "size")).alias("of") if most is None else F.array(largest.alias("of")).alias("of"))
     sets = sets.join(known.select("set_id", "bitmap"), "set_id").withColumn("of", F.explode("of"))
-    sets = sets.select("set_id", "n", "component", "codes", "bitmap", "of.code", "of.size")
+    sets = sets.select("set_id", "n", "component", "codes", "bitmap", "of.code", "of.size").withColumn("codes", F.filter("codes", lambda c: c < F.col("code")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     met = sets.withColumn("half", F.pmod(F.xxhash64("set_id", "code"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     keyed = met.select("code", F.least("half", "other").alias("one"), F.greatest("half", "other").alias("two"), "set_id", "n", "component", "codes", "half", "bitmap")
@@ -416,7 +415,10 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     while not last:
         turn += 1
         rows = materialise(_open(shared, groups), root, f"open-{turn}")
-        rest = _by_join(rows, known).unionByName(_by_blocks(rows, known, None)).distinct().join(tried, ["u", "v"], "left_anti")
+        large = rows.where(F.col("size") > SMALL).select("code").distinct().select("code", F.monotonically_increasing_id().alias("number"))
+        large = materialise(large, root, f"large-{turn}")  # numbers of groups are shorter to send than codes
+        numbered = rows.join(large, "code").withColumn("code", F.col("number")).drop("number")
+        rest = _by_join(rows, known).unionByName(_by_blocks(numbered, known, None)).distinct().join(tried, ["u", "v"], "left_anti")
         rest = materialise(rest, root, f"rest-{turn}")
         pairs = rest.count()
         sets_open = rest.select(F.explode(F.array("u", "v")).alias("node")).distinct().count() if pairs else 0
