@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import crc_mod, id_and_text, map_arrow, materialise, read_table, release, shared_dir
+from attestra.llm.common import crc_mod, id_and_text, map_arrow, read_table, release, remove, shared_dir
 
 #: Order of the model, counts that are discounted, share of documents held out (1 of FOLDS), chunks for each bucket.
 ORDER, DISCOUNTED, FOLDS, CHUNKS_PER_BUCKET = 3, 5, 10, 2
@@ -75,10 +75,17 @@ class _Chunk:
         self.grams.append(gram)
         self.pairs.append((found // n_words, found % n_words))
 
-    def train_counts(self, level: int) -> np.ndarray:
+    def _places(self, level: int, train: bool) -> np.ndarray:
         g = self.grams[level - 1]
         n = len(self.keys) if level == 1 else len(self.pairs[level - 2][0])
-        return np.bincount(g[self.train & (g >= 0)], minlength=n)
+        return np.bincount(g[(self.train == train) & (g >= 0)], minlength=n)
+
+    def train_counts(self, level: int) -> np.ndarray:
+        return self._places(level, True)
+
+    def in_held(self, level: int) -> np.ndarray:
+        """Which n-grams stand in a held-out text: only after those can an unseen word follow."""
+        return (self._places(level, False) > 0).astype(np.uint8)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +164,13 @@ class _Model:
         """Probability of words by their counts; all unknown words are one."""
         return np.where(counts > 0, self.discounted(1, counts) / max(self.scale, 1), self.rest)
 
+    def spread(self, total: np.ndarray) -> np.ndarray:
+        """Over how many buckets the continuations of a history go."""
+        return np.minimum(1 + total * 2 * self.buckets // max(self.tokens, 1), self.buckets)
+
     def bucket_of(self, hist: np.ndarray, total: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Home bucket of a history, or, for a frequent one, one of several by the word."""
-        spread = np.minimum(1 + total * 2 * self.buckets // max(self.tokens, 1), self.buckets)
+        spread = self.spread(total)
         return (hist + (word * 2_654_435_761 >> 7) % spread) % self.buckets
 
 
@@ -244,10 +255,10 @@ def _emit_words(batches: Iterator[pa.RecordBatch], model: _Model) -> Iterator[pa
     nothing = pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["kind", "level", "bucket", "blob"])
     for batch in batches:
         for k in range(batch.num_rows):
-            yield from _emit(model, 1)(pa.Table.from_batches([batch.slice(k, 1)]), nothing).to_batches()
+            yield from _emit(model, 1, False)(pa.Table.from_batches([batch.slice(k, 1)]), nothing).to_batches()
 
 
-def _emit(model: _Model, level: int):
+def _emit(model: _Model, level: int, last: bool):
     """Chunks and what was sent to them -> their n-grams of a level, a row a bucket."""
 
     def run(chunk: pa.Table, sent: pa.Table) -> pa.Table:
@@ -260,26 +271,28 @@ def _emit(model: _Model, level: int):
                 c.extend()
             order, cut = view.slices(level)
             count = c.train_counts(level)[order]
+            marks = np.zeros(len(order), np.uint8) if last else c.in_held(level)[order]
             if level == 1:
-                columns = [c.keys[order], _narrow(count)]
+                columns = [c.keys[order], _narrow(count), marks]
             else:
                 hist, word = (x[order] for x in c.pairs[level - 2])
-                values, code = np.unique(view.lower(level)[order], return_inverse=True)
-                columns = [view.ids[level - 2][hist], _narrow(view.ids[0][word]), _narrow(count), _narrow(code)]
-            for b in range(model.buckets):
+                # the lower model's probability counts for seen n-grams alone, and a chunk that has seen one sends it
+                values, code = np.unique(np.where(count > 0, view.lower(level)[order], 0.0), return_inverse=True)
+                asked = c.in_held(level - 1)[hist] | (model.spread(view.counts[level - 2][hist]) > 1)  # a bucket sees a spread history in part
+                columns = [view.ids[level - 2][hist], _narrow(view.ids[0][word]), _narrow(count), _narrow(code), marks + 2 * asked.astype(np.uint8)]
+            for b in np.flatnonzero(np.diff(cut)).tolist():
                 mine = [x[cut[b] : cut[b + 1]] for x in columns]
-                if len(mine[0]):
-                    if level > 1:
-                        used, code = np.unique(mine[3], return_inverse=True)
-                        mine = [np.diff(mine[0], prepend=0), mine[1], mine[2], _narrow(code), values[used]]
-                    rows.append(("grams", level, number, b, _pack(*mine)))
+                if level > 1:
+                    used, code = np.unique(mine[3], return_inverse=True)
+                    mine = [np.diff(mine[0], prepend=0), mine[1], mine[2], _narrow(code), values[used], *mine[4:]]
+                rows.append(("grams", level, number, b, _pack(*mine)))
         return _table(rows)
 
     return run
 
 
 def _count(model: _Model, level: int, last: bool):
-    """All chunks' n-grams of a bucket -> ids (below the last level) and counts for each chunk, the bucket's totals, statistics of its histories."""
+    """All chunks' n-grams of a bucket -> ids and held-out marks (below the last level) and counts for each chunk, the bucket's totals, statistics of its histories."""
 
     def run(grams: pa.Table) -> pa.Table:
         chunks, blobs = grams.column("chunk").to_pylist(), grams.column("blob").to_pylist()
@@ -299,15 +312,16 @@ def _count(model: _Model, level: int, last: bool):
             inverse = np.empty(len(at), np.int64)
             inverse[at] = np.cumsum(new) - 1
             hist, keys = h[at][new], w[at][new]
-            below = np.concatenate([p[4][p[3]] for p in parts])[at][new]
+            asked = np.unique(h[np.concatenate([p[-1] for p in parts]) > 1])
+            below = np.maximum.reduceat(np.concatenate([p[4][p[3]] for p in parts])[at], np.flatnonzero(new))
         total = np.bincount(inverse, count, len(keys)).astype(np.int64)
         order = np.argsort(-total, kind="stable")
         ids = np.empty(len(keys), np.int64)
         ids[order] = np.arange(len(keys)) * model.buckets + bucket
         start = 0
-        for chunk, n in zip(chunks, sizes):
+        for chunk, n, part in zip(chunks, sizes, parts):
             of = inverse[start : start + n]
-            rows.append(("counts", level, chunk, bucket, _pack(*([] if last else [_narrow(ids[of])]), _narrow(total[of]))))
+            rows.append(("counts", level, chunk, bucket, _pack(*([] if last else [_narrow(ids[of]), part[-1] & 1]), _narrow(total[of]))))
             start += n
         counted = total
         if level == 1:
@@ -320,26 +334,27 @@ def _count(model: _Model, level: int, last: bool):
             seen = total > 0
             hs, inv = np.unique(hist[seen], return_inverse=True)
             t = total[seen]
-            m = [np.bincount(inv, t == r, len(hs)) for r in range(1, DISCOUNTED + 1)]
-            columns = [hs, np.bincount(inv, t, len(hs)), np.bincount(inv, below[seen], len(hs)), *m]
+            used = np.isin(hs, asked, assume_unique=True)  # the others' backoff weight is never asked for: their scale is enough
+            m = [np.bincount(inv, t == r, len(hs)).astype(np.int32) for r in range(1, DISCOUNTED + 1)]
+            columns = [hs, _narrow(np.bincount(inv, t, len(hs)).astype(np.int64)), np.bincount(inv, below[seen], len(hs)) * used, *m]
             home = hs % model.buckets
             for b in np.unique(home):
                 mine = home == b
-                rows.append(("stats", level, -1, int(b), _pack(*(x[mine] for x in columns))))
+                rows.append(("stats", level, -1, int(b), _pack(np.diff(hs[mine], prepend=0), *(x[mine] for x in columns[1:]))))
         return _table(rows)
 
     return run
 
 
 def _weigh(model: _Model, level: int):
-    """Histories' statistics and the chunks' ids of a bucket -> each chunk's history totals and backoff weights."""
+    """Histories' statistics and the chunks' ids of a bucket -> each chunk's history totals, and backoff weights of those in held-out texts."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         kinds, chunks, blobs = (table.column(c).to_pylist() for c in ("kind", "chunk", "blob"))
         stats = [_unpack(b) for k, b in zip(kinds, blobs) if k == "stats"]
         if stats:
-            hist, inverse = np.unique(np.concatenate([s[0] for s in stats]), return_inverse=True)
+            hist, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in stats]), return_inverse=True)
             total, below, *m = (np.bincount(inverse, np.concatenate([s[i] for s in stats]), len(hist)) for i in range(1, 3 + DISCOUNTED))
             left = sum((1 - model.d[level - 1][r - 1]) * r * m[r - 1] for r in range(1, DISCOUNTED + 1))
             none = left <= 0
@@ -350,10 +365,14 @@ def _weigh(model: _Model, level: int):
         rows = []
         for k, chunk, blob in zip(kinds, chunks, blobs):
             if k == "counts":
-                ids = _unpack(blob)[0].astype(np.int64)
+                ids, held, _ = _unpack(blob)
                 at = np.minimum(np.searchsorted(hist, ids), max(len(hist) - 1, 0))
                 hit = hist[at] == ids if len(hist) else np.zeros(len(ids), bool)
-                rows.append(("alpha", level - 1, chunk, bucket, _pack(np.where(hit, scale[at], 0.0) if len(hist) else np.zeros(len(ids)), np.where(hit, alpha[at], 1.0) if len(hist) else np.ones(len(ids)))))
+                totals, weights = np.zeros(len(ids), np.int64), np.ones(len(ids))
+                totals[hit] = scale[at[hit]]
+                asked = hit & (held > 0)
+                weights[asked] = alpha[at[asked]]
+                rows.append(("alpha", level - 1, chunk, bucket, _pack(_narrow(totals), weights)))
         return _table(rows)
 
     return run
@@ -386,12 +405,19 @@ def _totals(rows: DataFrame, level: int) -> np.ndarray:
     return sum((_unpack(bytes(r.blob))[0] for r in got), np.zeros(DISCOUNTED + 3, np.int64))
 
 
-def _chunk_table(chunks: DataFrame, root: str) -> DataFrame:
-    """The chunks, written once and bucketed by chunk: what joins them later is brought to them, they are not shuffled."""
-    spark = chunks.sparkSession
-    name = "attestra_chunks_" + root.rsplit("-", 1)[-1]
-    chunks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("path", f"{root}/chunks").saveAsTable(name)
-    return spark.table(name)
+def _write_kinds(rows: DataFrame, root: str, name: str) -> DataFrame:
+    """materialise(), with a folder for each kind, so that one kind can be deleted when it is done with."""
+    path = f"{root}/{name}"
+    rows.write.partitionBy("kind").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _by_chunk(rows: DataFrame, root: str, name: str) -> DataFrame:
+    """Rows of chunks, written or added to a table bucketed by chunk: two such tables meet without a shuffle."""
+    spark = rows.sparkSession
+    table, buckets = f"attestra_{name}_{root.rsplit('-', 1)[-1]}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, "chunk").option("path", f"{root}/{name}").mode("append").saveAsTable(table)
+    return spark.table(table)
 
 
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -409,25 +435,36 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     root = shared_dir(spark)
     id_type = docs.schema["doc_id"].dataType
     kind = id_type.simpleString()
-    chunks = _chunk_table(map_arrow(id_and_text(docs), _chunks, f"chunk long, ids array<{kind}>, blob binary"), root)
+    chunks = _by_chunk(map_arrow(id_and_text(docs), _chunks, f"chunk long, ids array<{kind}>, blob binary"), root, "chunks")
     model = _Model(max(4, -(-chunks.count() // CHUNKS_PER_BUCKET)))
-    sent = spark.createDataFrame([], _ROWS)
+    sent: DataFrame | None = None  # all that the buckets have sent the chunks
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(rows: DataFrame) -> DataFrame:
+        return _by_chunk(rows.repartition(parts, "chunk"), root, "sent")
+
+    below = None
     for level in range(1, order + 1):
         if level == 1:
             grams = map_arrow(chunks.select("chunk", "blob"), _emit_words, _ROWS, model=model)
         else:
-            grams = chunks.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_emit(model, level), _ROWS)
-        counted = materialise(grams.groupBy("bucket").applyInArrow(_count(model, level, level == order), _ROWS), root, f"counts-{level}")
+            grams = chunks.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_emit(model, level, level == order), _ROWS)
+        counted = _write_kinds(grams.groupBy("bucket").applyInArrow(_count(model, level, level == order), _ROWS), root, f"counts-{level}")
+        del grams
         release(spark)
         total = _totals(counted, level)
+        release(spark)
         if level == 1:
             model.unigrams(total)
         else:
             model.d.append(discounts(total[2:]))
-            ask = sent.where((F.col("kind") == "counts") & (F.col("level") == level - 1)).unionByName(counted.where("kind = 'stats'"))
-            weights = materialise(ask.groupBy("bucket").applyInArrow(_weigh(model, level), _ROWS), root, f"weights-{level}")
-            sent = sent.unionByName(weights)
-        sent = sent.unionByName(counted.where("kind = 'counts'"))
+            ask = below.unionByName(counted.where("kind = 'stats'"))
+            sent = send(ask.groupBy("bucket").applyInArrow(_weigh(model, level), _ROWS))
+            del ask
+            remove(spark, f"{root}/counts-{level}/kind=stats")
+        sent = send(counted.where("kind = 'counts'"))
+        remove(spark, f"{root}/counts-{level}")
+        below = sent.where((F.col("kind") == "counts") & (F.col("level") == level))
         release(spark)
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return chunks.groupBy("chunk").cogroup(sent.groupBy("chunk")).applyInArrow(_score(model, order, to_arrow_type(id_type)), result)
