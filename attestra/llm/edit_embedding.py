@@ -9,6 +9,8 @@ class that the text's walk has, so texts of like length sample the same steps. B
 over groups of places proposes near pairs, which the edit distance then verifies: first
 each band's least text meets the others, then all that are still in two classes meet.
 Short texts, whose walks leave places empty, are proposed by their halves instead, exactly.
+Many unlike texts may share a code, such as copies with other words in places: a bitmap of the
+parities of a text's character pairs rules those out within the join, so they never become rows.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MOVE_SHARE, WALK_CHARS = 0.75, 12_000_000
 CHARS_PER_EDIT, MOST_EDITS, LEAST_CHARS, BANDS, BAND_PLACES = 200, 8, 10, 32, 4
 #: Texts below the first length are proposed by halves (one edit at most), from the second on by bands.
 HALVES_BELOW, BANDS_FROM = 2 * CHARS_PER_EDIT, CHARS_PER_EDIT
+#: Parity bits of a text, and how many of them one edit flips at most: two pairs of characters go, two come.
+PARITIES, FLIPS = 128, 4
 _SEED = 20_240_229
 
 
@@ -161,6 +165,16 @@ def half_codes(text: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f"{kind}{shorter}:{part}".encode("utf-8", "surrogatepass")) - (1 << 63) for kind, shorter, part in parts]
 
 
+def parities(text: str) -> tuple[int, int]:
+    """Two words of PARITIES bits, each the parity of a class of neighbouring characters; one edit flips FLIPS of them at most."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    count = np.zeros(PARITIES, np.int64)
+    for a in range(0, len(c) - 1, 1 << 20):
+        some = c[a : a + (1 << 20) + 1].astype(np.uint64)
+        count += np.bincount((_mix(some[:-1] * np.uint64(1_000_003) + some[1:]) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return tuple(np.packbits((count & 1).astype(np.uint8)).view(np.int64).tolist())
+
+
 def codes(text: str, fingerprint: bytes) -> list[int]:
     """What a text shares with its near texts."""
     return half_codes(text) + (band_codes(fingerprint) if len(text) >= BANDS_FROM else [])
@@ -181,8 +195,8 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first: tuple | None = None
 
     def record(kind: str, rows: list[tuple]) -> pa.RecordBatch:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_sha256", "halves", "kind", "part", "text"]
-        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.string()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_sha256", "halves", "parity_a", "parity_b", "kind", "part", "text"]
+        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -196,7 +210,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = ([held] if held else []) + list(zip(ids, texts, own))
         rows = []
         for (i, t, f), e, g, nxt in zip(before, changed, new, own if held else own[1:]):
-            rows.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), likeness(f, g), likeness(f, nxt), hashlib.sha256(t.encode()).hexdigest(), half_codes(t), "row", part, None))
+            rows.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), likeness(f, g), likeness(f, nxt), hashlib.sha256(t.encode()).hexdigest(), half_codes(t), *parities(t), "row", part, None))
         first = first or before[0]
         held = (ids[-1], texts[-1], own[-1])
         return record("row", rows) if rows else None
@@ -217,7 +231,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if (out := flush(ids, texts)) is not None:
         yield out
     if first and held:
-        yield record("edge", [(i, None, None, f.hex(), None, None, None, None, None, kind, part, t) for kind, (i, t, f) in (("first", first), ("last", held))])
+        yield record("edge", [(i, None, None, f.hex(), None, None, None, None, None, None, None, kind, part, t) for kind, (i, t, f) in (("first", first), ("last", held))])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +249,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([likeness(f, g) for f, g in zip(*prints)], pa.float64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in mine], pa.string()),
             pa.array([half_codes(t) for t in mine], pa.list_(pa.int64())),
+            *(pa.array([parities(t)[k] for t in mine], pa.int64()) for k in (0, 1)),
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_sha256", "halves"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_sha256", "halves", "parity_a", "parity_b"])
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -247,18 +262,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     what lies at the partitions' edges is stitched from two rows a partition. Null and empty
     texts have n_chars 0 and the fingerprint of the empty text. Other columns stay behind.
     """
-    return _with_halves(docs).drop("text_sha256", "halves")
+    return _with_halves(docs).drop(*_OF_TEXT)
+
+
+#: What near_documents needs of each text besides.
+_OF_TEXT = ("text_sha256", "halves", "parity_a", "parity_b")
 
 
 def _with_halves(docs: DataFrame) -> DataFrame:
-    """fingerprint_documents, and each text's hash and the codes of its halves."""
+    """fingerprint_documents, and each text's hash, the codes of its halves and its parities."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     dealt = id_and_text(docs)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     dealt = dealt.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    result = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_sha256 string, halves array<long>"
+    result = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_sha256 string, halves array<long>, parity_a long, parity_b long"
     root = shared_dir(spark)
     rows = materialise(map_arrow(dealt, _walks, f"{result}, kind string, part long, text string"), root, "walks")
     del dealt
@@ -331,30 +350,36 @@ def near_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     root = shared_dir(spark)
     rows = _with_halves(docs)
-    nodes = rows.groupBy("text_sha256", "fingerprint", "n_chars", "halves").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.groupBy("fingerprint", "n_chars", *_OF_TEXT).agg(F.min("doc_id").alias("doc_id"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), root, "nodes")
     release(spark)
     coded = map_arrow(nodes.select("node", "n_chars", "fingerprint", "halves"), _coded, "node long, n_chars int, codes array<long>")
     members = coded.select("node", "n_chars", F.explode("codes").alias("code"))
-    close = F.expr(f"abs(n_u - n_v) <= {_edits('greatest(n_u, n_v)')}")
+    most = _edits("greatest(n_u, n_v)")
+    close = F.expr(f"abs(n_u - n_v) <= {most}")
+    alike = F.expr(f"bit_count(parity_a_u ^ parity_a_v) + bit_count(parity_b_u ^ parity_b_v) <= {FLIPS} * {most}")
+    parity = nodes.select("node", "parity_a", "parity_b")
 
     def end(frame: DataFrame, x: str) -> DataFrame:
-        return frame.select("code", F.col("node").alias(x), F.col("n_chars").alias(f"n_{x}"), F.col("component").alias(f"component_{x}"))
+        return frame.select("code", F.col("node").alias(x), *(F.col(c).alias(f"{a}_{x}") for c, a in (("n_chars", "n"), ("component", "component"), ("parity_a", "parity_a"), ("parity_b", "parity_b"))))
 
     def pairs(found: DataFrame) -> DataFrame:
-        return found.where(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return found.where(close & alike).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
     of_code = Window.partitionBy("code")  # the members are dealt out once
     met = members.withColumn("first", F.min(F.struct("node", "n_chars")).over(of_code)).withColumn("size", F.count("*").over(of_code)).where("size > 1")
     shared = materialise(met.select("code", "node", "n_chars", F.col("first.node").alias("u"), F.col("first.n_chars").alias("n_u")), root, "shared")
     release(spark)
-    stars = materialise(pairs(shared.withColumnsRenamed({"node": "v", "n_chars": "n_v"}).where("u != v")), root, "stars")
+    met = shared.where("node != u").select("u", "n_u", F.col("node").alias("v"), F.col("n_chars").alias("n_v")).where(close).distinct()
+    for x in "uv":
+        met = met.join(parity.toDF(x, f"parity_a_{x}", f"parity_b_{x}"), x)
+    stars = materialise(pairs(met), root, "stars")
     links = _verified(stars, nodes, docs, root, "stars")
     joined = components(links, root, "joined")
     labelled = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialise(labelled.select("node", "n_chars", "code", "component"), root, "labelled")
     apart = labelled.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("code")
-    left = labelled.join(apart, "code")
+    left = labelled.join(apart, "code").join(parity, "node")
     rest = pairs(end(left, "u").join(end(left, "v"), "code").where("u < v and component_u != component_v")).join(stars, ["u", "v"], "left_anti")
     rest = materialise(rest, root, "rest")
     release(spark)
@@ -364,7 +389,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     placed = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     known = placed.join(least, "component").join(counts, "node", "left").select("text_sha256", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(known, "text_sha256").drop("text_sha256", "halves")
+    return rows.join(known, "text_sha256").drop(*_OF_TEXT)
 
 
 def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,31 @@ def test_unlike_short_texts_are_unlike():
     for a, b in (("hello", "world"), ("x", "q"), ("the cat", "dogs are"), ("", "hello")):
         f, g = edit_embedding.fingerprints([a, b])
         assert edit_embedding.likeness(f, f) == 1 and edit_embedding.likeness(f, g) <= 0.35, (a, b)
+
+
+def test_an_edit_flips_few_parities():
+    rng = random.Random(7)
+    for _ in range(300):
+        a = "".join(rng.choice("ab é日") for _ in range(rng.randint(0, 60)))
+        b = changed(rng, a, 1) if a else rng.choice("aé")
+        assert sum((x ^ y).bit_count() for x, y in zip(*([v % 2**64 for v in edit_embedding.parities(t)] for t in (a, b)))) <= edit_embedding.FLIPS
+
+
+def test_copies_with_other_words_stay_apart_and_their_near_texts_are_found(spark):
+    """A large group that shares codes, where only a few are near: the classes are those of brute force."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 9))) for _ in range(300)]
+    base = rng.choices(words, k=70)
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for k in rng.sample(range(len(own)), 4):
+            own[k] = rng.choice(words)
+        texts.append(" ".join(own))
+    texts += [changed(rng, t, 1) for t in texts[:20]]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in edit_embedding.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = classes(rows)
+    wrong = [i for i in want if got[i] != want[i]]
+    assert all(got[i] == i for i in wrong) and len(wrong) <= 3, wrong  # bands may miss one in ten
+    assert sum(got[60 + k] == got[k] for k in range(20)) >= 18
