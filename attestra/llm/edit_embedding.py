@@ -380,8 +380,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     labelled = materialise(labelled.select("node", "n_chars", "code", "component"), root, "labelled")
     apart = labelled.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("code")
     left = labelled.join(apart, "code").join(parity, "node")
-    rest = pairs(end(left, "u").join(end(left, "v"), "code").where("u < v and component_u != component_v")).join(stars, ["u", "v"], "left_anti")
-    rest = materialise(rest, root, "rest")
+    rest = pairs(end(left, "u").join(end(left, "v"), "code").where("u < v and component_u != component_v"))
+    found = materialise(rest, root, "found")  # each pair once, before the join: else it would move a row for each shared code
+    rest = materialise(found.join(stars, ["u", "v"], "left_anti"), root, "rest")
     release(spark)
     links = links.unionByName(_verified(rest, nodes, docs, root, "rest"))
     final = components(links, root, "final")
