@@ -164,6 +164,10 @@ class _Model:
         """Probability of words by their counts; all unknown words are one."""
         return np.where(counts > 0, self.discounted(1, counts) / max(self.scale, 1), self.rest)
 
+    def seen(self, level: int, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Probability of seen n-grams by their counts and their histories' totals."""
+        return self.unigram(counts) if level == 1 else self.discounted(level, counts) / np.maximum(totals, 1)
+
     def spread(self, total: np.ndarray) -> np.ndarray:
         """Over how many buckets the continuations of a history go."""
         return np.minimum(1 + total * 2 * self.buckets // max(self.tokens, 1), self.buckets)
@@ -175,15 +179,14 @@ class _Model:
 
 
 class _View:
-    """A chunk with all that the buckets have sent it, level by level."""
+    """A chunk with all that the buckets have sent it, level by level, and the tokens' probabilities if it is to be scored."""
 
-    def __init__(self, model: _Model, blob: bytes, sent: dict[tuple[str, int], dict[int, list[np.ndarray]]], levels: int) -> None:
-        self.m, self.c = model, _load(blob)
+    def __init__(self, model: _Model, blob: bytes, sent: dict[tuple[str, int], dict[int, list[np.ndarray]]], levels: int, scored: bool = False) -> None:
+        self.m, self.c, self.scored = model, _load(blob), scored
         self.sent = sent
         self.ids: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.totals: list[np.ndarray] = []
-        self.alpha: list[np.ndarray] = []
+        self.totals: list[np.ndarray] = []  # of each level's n-grams as histories
         self.slots: list[tuple[np.ndarray, np.ndarray]] = []
         self.prob: np.ndarray | None = None  # at each token, by the levels so far
         for level in range(1, levels + 1):
@@ -216,11 +219,13 @@ class _View:
         self.counts.append(self._gather("counts", level, -1, np.int64))
         gram = self.c.grams[level - 1]
         if level == 1:
-            self.prob = self.m.unigram(self.counts[0])[gram]
+            if self.scored:
+                self.prob = self.m.unigram(self.counts[0])[gram]
             return
         total = self._gather("alpha", level - 1, 0, np.float64)
-        alpha = self._gather("alpha", level - 1, 1, np.float64)
-        if ("alpha", level - 1) in self.sent:
+        self.totals.append(total)
+        if self.scored and ("alpha", level - 1) in self.sent:
+            alpha = self._gather("alpha", level - 1, 1, np.float64)
             ok = gram >= 0
             hist = self.c.pairs[level - 2][0][gram[ok]]
             count = self.counts[level - 1][gram[ok]]
@@ -228,13 +233,16 @@ class _View:
                 seen = self.m.discounted(level, count) / total[hist]
             self.prob[ok] = np.where(count > 0, seen, np.where(total[hist] > 0, alpha[hist], 1.0) * self.prob[ok])
 
-    def lower(self, level: int) -> np.ndarray:
-        """Of each n-gram of a level: its last word's probability one level down."""
+    def lower(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each n-gram of a level: count of the n-gram without its first word, and, above level 2, that one's history's total."""
         gram = self.c.grams[level - 1]
         at = np.flatnonzero(gram >= 0)
-        out = np.zeros(len(self.c.pairs[level - 2][0]))
-        out[gram[at]] = self.prob[at]
-        return out
+        below = self.c.grams[level - 2][at]
+        counts, totals = (np.zeros(len(self.c.pairs[level - 2][0]), np.int64) for _ in range(2))
+        counts[gram[at]] = self.counts[level - 2][below]
+        if level > 2:
+            totals[gram[at]] = self.totals[level - 3][self.c.pairs[level - 3][0][below]]
+        return counts, totals
 
 
 def _sent(kinds: list[str], levels: list[int], buckets: list[int], blobs: list[bytes]) -> dict:
@@ -276,15 +284,14 @@ def _emit(model: _Model, level: int, last: bool):
                 columns = [c.keys[order], _narrow(count), marks]
             else:
                 hist, word = (x[order] for x in c.pairs[level - 2])
-                # the lower model's probability counts for seen n-grams alone, and a chunk that has seen one sends it
-                values, code = np.unique(np.where(count > 0, view.lower(level)[order], 0.0), return_inverse=True)
+                # the lower model's probability counts for seen n-grams alone, and a chunk that has seen one sends what it follows from
+                lower = (_narrow(np.where(count > 0, x[order], 0)) for x in view.lower(level))
                 asked = c.in_held(level - 1)[hist] | (model.spread(view.counts[level - 2][hist]) > 1)  # a bucket sees a spread history in part
-                columns = [view.ids[level - 2][hist], _narrow(view.ids[0][word]), _narrow(count), _narrow(code), marks + 2 * asked.astype(np.uint8)]
+                columns = [view.ids[level - 2][hist], _narrow(view.ids[0][word]), _narrow(count), *lower, marks + 2 * asked.astype(np.uint8)]
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 mine = [x[cut[b] : cut[b + 1]] for x in columns]
                 if level > 1:
-                    used, code = np.unique(mine[3], return_inverse=True)
-                    mine = [np.diff(mine[0], prepend=0), mine[1], mine[2], _narrow(code), values[used], *mine[4:]]
+                    mine[0] = np.diff(mine[0], prepend=0)
                 rows.append(("grams", level, number, b, _pack(*mine)))
         return _table(rows)
 
@@ -313,7 +320,8 @@ def _count(model: _Model, level: int, last: bool):
             inverse[at] = np.cumsum(new) - 1
             hist, keys = h[at][new], w[at][new]
             asked = np.unique(h[np.concatenate([p[-1] for p in parts]) > 1])
-            below = np.maximum.reduceat(np.concatenate([p[4][p[3]] for p in parts])[at], np.flatnonzero(new))
+            lower = (np.maximum.reduceat(np.concatenate([p[k] for p in parts]).astype(np.int64)[at], np.flatnonzero(new)) for k in (3, 4))
+            below = model.seen(level - 1, *lower)
         total = np.bincount(inverse, count, len(keys)).astype(np.int64)
         order = np.argsort(-total, kind="stable")
         ids = np.empty(len(keys), np.int64)
@@ -383,7 +391,7 @@ def _score(model: _Model, order: int, kind):
         got = _sent(*(sent.column(c).to_pylist() for c in ("kind", "level", "bucket", "blob")))
         out = []
         for ids, blob in zip(chunk.column("ids").to_pylist(), chunk.column("blob").to_pylist()):
-            view = _View(model, blob, got, order)
+            view = _View(model, blob, got, order, True)
             c = view.c
             counts = view.counts[0]
             base = np.log10((counts + 0.1) / (model.tokens + 0.1 * (model.types + 1)))[c.words]
