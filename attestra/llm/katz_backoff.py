@@ -51,6 +51,13 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int32) if not len(a) or int(a.max()) < 2**31 else a
 
 
+def _ordered(major: np.ndarray, minor: np.ndarray, kind: str | None = "stable") -> np.ndarray:
+    """Order by major, then minor, neither negative; ties as they stand, or any way for kind None. One sort where both fit a word."""
+    if len(major) and int(major.max()) < (1 << 62) // (int(minor.max()) + 1):
+        return np.argsort(major * (int(minor.max()) + 1) + minor, kind=kind)
+    return np.lexsort((minor, major))
+
+
 class _Chunk:
     """Word indices of some documents (each begins with the begin word, ends with the end word) and a dictionary of word keys."""
 
@@ -201,7 +208,7 @@ class _View:
             hist, word = self.c.pairs[level - 2]
             h, w = self.ids[level - 2][hist], self.ids[0][word]
             bucket = self.m.bucket_of(h, self.counts[level - 2][hist], w)
-            order = np.lexsort((w, h, bucket))
+            order = _ordered(bucket, h)
         return order, np.searchsorted(bucket[order], np.arange(self.m.buckets + 1))
 
     def _gather(self, kind: str, level: int, column: int, dtype: type) -> np.ndarray:
@@ -286,7 +293,7 @@ def _emit(model: _Model, level: int, last: bool):
                 hist, word = (x[order] for x in c.pairs[level - 2])
                 # the lower model's probability counts for seen n-grams alone, and a chunk that has seen one sends what it follows from
                 lower = (_narrow(np.where(count > 0, x[order], 0)) for x in view.lower(level))
-                asked = c.in_held(level - 1)[hist] | (model.spread(view.counts[level - 2][hist]) > 1)  # a bucket sees a spread history in part
+                asked = (c.in_held(level - 1) | (model.spread(view.counts[level - 2]) > 1))[hist]  # a bucket sees a spread history in part
                 columns = [view.ids[level - 2][hist], _narrow(view.ids[0][word]), _narrow(count), *lower, marks + 2 * asked.astype(np.uint8)]
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 mine = [x[cut[b] : cut[b + 1]] for x in columns]
@@ -314,7 +321,7 @@ def _count(model: _Model, level: int, last: bool):
         else:
             h = np.concatenate([np.cumsum(p[0]) for p in parts])
             w = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            at = np.lexsort((w, h))
+            at = _ordered(h, w, None)
             new = np.concatenate(([True], (h[at][1:] != h[at][:-1]) | (w[at][1:] != w[at][:-1])))
             inverse = np.empty(len(at), np.int64)
             inverse[at] = np.cumsum(new) - 1
