@@ -16,6 +16,11 @@ def rounded(c: Column) -> Column:
     return F.bround(c, 4)
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """A double rounded as SQL's round_even does it: scaled, rounded half to even and scaled back. bround goes by the decimal digits, where 0.575 is a tie."""
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def prf(predicted: DataFrame, gold: DataFrame, key: list[str] = KEY) -> DataFrame:
     """One row: precision, recall, f1, hit_count, predicted_edge_count, gold_count."""
     p, g = predicted.select(*key).distinct(), gold.select(*key).distinct()
@@ -90,4 +95,4 @@ def coverage_curve(scored: DataFrame, label: str = "is_gold") -> DataFrame:
     w = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct confidence
     total = scored.agg(F.count("*").alias("total"))
     c = levels.withColumn("accepted", F.sum("n").over(w)).withColumn("hits", F.sum("h").over(w)).crossJoin(total)
-    return c.select("confidence", "accepted", "hits", rounded(F.col("accepted") / F.col("total")).alias("coverage"), rounded(F.col("hits") / F.col("accepted")).alias("precision"))
+    return c.select("confidence", "accepted", "hits", half_even(F.col("accepted") / F.col("total"), 4).alias("coverage"), half_even(F.col("hits") / F.col("accepted"), 4).alias("precision"))

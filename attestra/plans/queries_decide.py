@@ -360,7 +360,7 @@ def _(s, d):
 @query("d_precision_coverage", "with x as (select round_even(n_chars / 10000, 2) as confidence, quality from documents join labels using (doc_id)), l as (select confidence, count(*) as n, sum(quality) as h from x group by confidence), c as (select confidence, sum(n) over (order by confidence desc) as accepted, sum(h) over (order by confidence desc) as hits from l) select confidence, cast(accepted as bigint) as accepted, cast(hits as bigint) as hits, round_even(accepted / (select count(*) from x), 4) as coverage, round_even(hits / accepted, 4) as precision from c")
 def _(s, d):
     t = P.Tables(s, d)
-    x = t.documents.join(t.labels, "doc_id").select(F.bround(F.col("n_chars") / 10000, 2).alias("confidence"), F.col("quality").alias("is_gold"))
+    x = t.documents.join(t.labels, "doc_id").select(metrics.half_even(F.col("n_chars") / 10000, 2).alias("confidence"), F.col("quality").alias("is_gold"))
     return metrics.coverage_curve(x)
 
 
