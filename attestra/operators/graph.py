@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.text import normal
+from attestra.operators import dense
 from attestra.sources.shared import cut
 
 
@@ -61,11 +62,10 @@ def neighbors(triples: DataFrame, direction: str = "both", relation: str | None
 def common_neighbors(edges: DataFrame, heads: DataFrame, tails: DataFrame) -> DataFrame:
     """(head, tail, common) of all pairs of heads and tails, columns `id`, that share a neighbor.
 
-    Both sides are cut to legal ends before they meet, so a hub yields legal pairs only.
+    Both sides are cut to legal ends, and what hubs join meets by classes (see dense), so no pair is shuffled.
     """
-    h = edges.join(heads.select(F.col("id").alias("entity")), "entity", "left_semi").select(F.col("entity").alias("head"), "neighbor")
-    t = edges.join(tails.select(F.col("id").alias("entity")), "entity", "left_semi").select(F.col("entity").alias("tail"), "neighbor")
-    return h.join(t, "neighbor").where("head != tail").groupBy("head", "tail").agg(F.array_sort(F.collect_list("neighbor")).alias("common"))
+    found = dense.link(edges.select(F.col("entity").alias("a"), F.col("neighbor").alias("b")), heads, tails, 2)
+    return dense.expand(found, [F.col("common")])
 
 
 def ranked_edges(triples: DataFrame, entities: DataFrame | None = None) -> DataFrame:
