@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.config import ROUTES, Task
-from attestra.operators import graph, routes
+from attestra.operators import dense, graph, routes
 from attestra.operators.checks import links
 from attestra.operators.routes import dec
 from attestra.sources.shared import cut
@@ -115,19 +115,26 @@ def single_relation(kg: dict[str, DataFrame], task: Task) -> DataFrame:
     )
 
 
-def single_relation_scores(kg: dict[str, DataFrame], ends: list[DataFrame]) -> DataFrame:
-    """(head, tail, candidate_score) by all three rules, for graphs too large to list paths: only reachability is kept."""
-    found = graph.reachable(graph.ranked_edges(kg["triples"]), ends[0], ends[1])
-    common = graph.common_neighbors(graph.neighbors(kg["triples"]), ends[0], ends[1])
-    mentions = links(kg["evidence"]).select("evidence_id", "entity_id")
-    sides = [mentions.join(e.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").withColumnRenamed("entity_id", n) for e, n in zip(ends, ("head", "tail"))]
-    overlap = sides[0].join(sides[1], "evidence_id").where("head != tail").select("head", "tail").distinct()
-    rows = (
-        found.select("head", "tail", F.when(F.col("hops") <= 2, dec(F.lit("0.4"))).otherwise(dec(F.lit("0.25"))).alias("score"))
-        .unionByName(common.select("head", "tail", routes.capped(F.size("common"), "0.3", "0.15", "0.05").alias("score")))
-        .unionByName(overlap.select("head", "tail", dec(F.lit("0.2")).alias("score")))
-    )
-    return rows.groupBy("head", "tail").agg(F.bround(F.sum("score"), 3).cast("double").alias("candidate_score"))
+def single_relation_scores(kg: dict[str, DataFrame], ends: list[DataFrame], best: int | None = None) -> DataFrame:
+    """(head, tail, candidate_score) by all three rules, for graphs too large to list paths.
+
+    Pairs that an edge or evidence joins are scored one by one; all others owe their score to
+    their classes (see dense) and are made as rows leave. best: at least the first so many, by score, head and tail.
+    """
+    edges = cut(dense.undirected(kg["triples"]), "edges")
+    found = dense.link(edges, ends[0], ends[1])
+    mentions = kg["evidence"].select(F.col("id").alias("evidence_id"), F.explode(F.array_distinct("related_entities")).alias("entity_id"))
+    sides = [mentions.join(cut(e, n).withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").withColumnRenamed("entity_id", n) for e, n in zip(ends, ("head", "tail"))]
+    overlap = sides[0].join(sides[1], "evidence_id").where("head != tail").select("head", "tail", F.lit(1).alias("named"), F.lit(0).alias("edge"))
+    single = overlap.unionByName(found.direct.select("head", "tail", F.lit(0).alias("named"), F.lit(1).alias("edge"))).groupBy("head", "tail").agg(F.max("named").alias("named"), F.max("edge").alias("edge"))
+    near = (F.col("edge") == 1) | (F.col("hops") == 2)
+    common = F.coalesce(routes.capped(F.size("common"), "0.3", "0.15", "0.05"), dec(0))
+    path = F.when(near, dec(F.lit("0.4"))).when(F.col("hops") == 3, dec(F.lit("0.25"))).otherwise(dec(0))
+    score = F.bround(path + common + F.when(F.col("named") == 1, dec(F.lit("0.2"))).otherwise(dec(0)), 3).cast("double")
+    scored = cut(dense.place(single, found).select("head", "tail", score.alias("candidate_score"), F.when(F.col("hops").isNotNull(), F.col("tail_class")).alias("tail_class"), "block"), "scored")
+    far = F.when(F.col("hops") == 2, dec(F.lit("0.4"))).otherwise(dec(F.lit("0.25")))
+    rest = dense.expand(found, [F.bround(far + common, 3).cast("double").alias("candidate_score")], without=scored.where("tail_class is not null"), best=best)
+    return scored.select("head", "tail", "candidate_score").unionByName(rest)
 
 
 def window(candidates: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def hubs(seed, overlap):
     rnd = random.Random(seed)
     heads, tails, mids = [f"h{i}" for i in range(30)], [f"t{i}" for i in range(25)], [f"m{i}" for i in range(4)]
     edges = {(x, rnd.choice(mids)) for x in heads + tails} | {(rnd.choice(heads), rnd.choice(tails)) for _ in range(5)} | {(rnd.choice(heads), rnd.choice(mids)) for _ in range(5)}
-    edges |= {("m0", "m1"), ("m2", "x"), ("x", "m3"), ("m1", "m1")}
+    edges |= {("m0", "m1"), ("m2", "x"), ("x", "m3"), ("m1", "m1"), ("h1", "h1")}
     return edges, heads + (tails[:5] if overlap else []), tails + (heads[:5] if overlap else [])
 
 
@@ -50,3 +50,38 @@ def test_common_neighbors(spark, monkeypatch, overlap):
     rows = got.collect()
     assert len(rows) == len(want) and {(r.head, r.tail): list(r.common) for r in rows} == want
     assert not re.search(PAIRS_DEALT, plan(got))
+
+
+def scores(edges, named, heads, tails):
+    near = around({e for e in edges if e[0] != e[1]})
+    loops = around(edges)
+    out = {}
+    for a, b in product(heads, tails):
+        if a == b:
+            continue
+        two = near[a] & near[b]
+        hops = 1 if b in near[a] else 2 if two else 3 if any(y in near[x] for x in near[a] for y in near[b]) else 9
+        n = len(loops[a] & loops[b])
+        s = (400 if hops <= 2 else 250 if hops == 3 else 0) + (min(300, 150 + 50 * n) if n else 0) + (200 if any(a in e and b in e for e in named) else 0)
+        if s:
+            out[a, b] = s / 1000
+    return out
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_single_relation_scores(spark, monkeypatch, overlap):
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    monkeypatch.setattr(dense, "DEAL", 4)
+    edges, heads, tails = hubs(2, overlap)
+    triples, h, t = frames(spark, edges, heads, tails)
+    rnd = random.Random(3)
+    named = [rnd.sample(heads, 2) + rnd.sample(tails, 2) for _ in range(12)]
+    evidence = spark.createDataFrame([(f"e{i}", x, i) for i, x in enumerate(named)], "id string, related_entities array<string>, seq long")
+    kg = {"triples": triples, "evidence": evidence}
+    want = scores(edges, named, heads, tails)
+    got = candidates.single_relation_scores(kg, [h, t])
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.head, r.tail): r.candidate_score for r in rows} == want
+    assert not re.search(PAIRS_DEALT + r", \d+", plan(got))  # by head, tail and nothing else
+    first = [(r.head, r.tail) for r in candidates.single_relation_scores(kg, [h, t], 7).orderBy(F.desc("candidate_score"), "head", "tail").limit(7).collect()]
+    assert first == sorted(want, key=lambda p: (-want[p], p))[:7]
