@@ -206,12 +206,12 @@ from k left join p on p.head = k.head and p.tail = k.tail left join n on n.head
 """
 
 
-def _v1(s: SparkSession, d: str) -> DataFrame:
-    """Scored pairs of the single-relation rules, by reachability instead of single paths."""
+def _v1(s: SparkSession, d: str, best: int | None = None) -> DataFrame:
+    """Scored pairs of the single-relation rules, by reachability instead of single paths; best: at least the first so many."""
     t = P.Tables(s, d)
     e = P.entities(t)
     ends = [e.where(F.col("type") == k).select("id") for k in ("customer", "supplier")]
-    return candidates.single_relation_scores({"entities": e, "triples": P.triples(t), "evidence": P.evidence(t)}, ends)
+    return candidates.single_relation_scores({"entities": e, "triples": P.triples(t), "evidence": P.evidence(t)}, ends, best)
 
 
 @query("kg_candidates_v1_scored", sql("t u ve e", V1 + "select head, tail, candidate_score from r"))
@@ -221,7 +221,7 @@ def _(s, d):
 
 @query("kg_candidate_window", sql("t u ve e", V1 + "select * from (select head, tail, candidate_score, row_number() over (order by candidate_score desc, head, tail) as seq from r) where seq > 100 and seq <= 150"))
 def _(s, d):
-    best = _v1(s, d).orderBy(F.desc("candidate_score"), "head", "tail").limit(150)  # the window's end bounds the sort
+    best = _v1(s, d, 150).orderBy(F.desc("candidate_score"), "head", "tail").limit(150)  # the window's end bounds the sort
     from pyspark.sql import Window
 
     ranked = best.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("candidate_score"), "head", "tail")).cast("long"))
