@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.config import ROUTES, Task
@@ -32,12 +32,10 @@ def multi_route(kg: dict[str, DataFrame], specs: DataFrame) -> DataFrame:
 
     candidate_id, ord, relation, head, tail, candidate_score, recall_sources, debug.
     """
-    kg = kg | {"triples": cut(kg["triples"], "triples"), "evidence": cut(kg["evidence"], "evidence")}  # several routes read them
+    kg = kg | {"triples": cut(kg["triples"].select(*KEY), "triples"), "evidence": cut(kg["evidence"], "evidence")}  # several routes read them
     ends = tuple(routes.legal_ends(kg["entities"], specs, side) for side in ("head", "tail"))
-    edges = cut(graph.ranked_edges(kg["triples"]).select("a", "b"), "edges")
+    edges = cut(dense.undirected(kg["triples"]), "edges")
     run = {
-        "path_rule": lambda e: routes.by_path(edges, e),
-        "common_neighbor": lambda e: routes.by_common_neighbor(kg["triples"], e),
         "evidence_cooccurrence": lambda e: routes.by_cooccurrence(routes.shared_evidence(kg["evidence"], e)),
         "attribute_similarity": lambda e: routes.by_attributes(kg["entities"], e),
         "source_specific_rule": lambda e: routes.by_source(routes.shared_evidence(kg["evidence"], e), kg["evidence"]),
@@ -47,18 +45,65 @@ def multi_route(kg: dict[str, DataFrame], specs: DataFrame) -> DataFrame:
         for relations in routes.alike(specs, route):  # relations of the same types share one run
             some = tuple(e.where(F.col("relation").isin(relations)) for e in ends)
             found[route] = found[route].unionByName(of(some)) if route in found else of(some)
-    return rank_routes(found, kg, specs, ends)
+    joined = []
+    for relations, some in routes.alike_hubs(specs, ends):
+        linked = dense.link(edges, *(e.select("id").distinct() for e in some))
+        joined.append((specs.where(F.col("relation").isin(relations)), linked))
+    return rank_routes(found, kg, specs, ends, joined)
+
+
+def _class_said(on: dict[str, Column], hops: Column) -> dict[str, tuple[Column, Column]]:
+    """Score and debug struct of the two routes over neighbors, from a pair's hops and its classes' common; null where a route is silent."""
+    n = F.size("common")
+    path = on["path_rule"] & hops.isNotNull()
+    near = on["common_neighbor"] & (n > 0)
+    return {
+        "path_rule": (F.when(path, F.when(hops <= 2, dec(F.lit("0.45"))).otherwise(dec(F.lit("0.25")))), F.when(path, F.struct(hops.cast("int").alias("shortest_path_len")))),
+        "common_neighbor": (F.when(near, routes.capped(n, "0.3", "0.12", "0.04")), F.when(near, F.struct(n.alias("common_neighbor_count"), F.slice("common", 1, 8).alias("common_neighbors")))),
+    }
+
 
+def _summed(said: dict[str, tuple[Column, Column]]) -> tuple[Column, Column]:
+    """Sum of the scores of the two routes, and the names of those that speak."""
+    score = reduce(lambda a, b: a + b, (F.coalesce(s, dec(0)) for s, _ in said.values()))
+    return score, F.filter(F.array(*(F.when(s.isNotNull(), F.lit(r)) for r, (s, _) in said.items())), lambda r: r.isNotNull())
 
-def rank_routes(found: dict[str, DataFrame], kg: dict[str, DataFrame], specs: DataFrame, ends: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """Sum of the routes' scores for every pair that a route of its relation hits, and the best of them."""
+
+def rank_routes(found: dict[str, DataFrame], kg: dict[str, DataFrame], specs: DataFrame, ends: tuple[DataFrame, DataFrame], joined: list[tuple[DataFrame, dense.Dense]]) -> DataFrame:
+    """Sum of the routes' scores for every pair that a route of its relation hits, and the best of them.
+
+    Pairs that an edge or another route joins are scored one by one. Of those that owe all to their classes
+    (see dense) only what can be among a relation's best is made: the score is one for two classes, so the first pairs.
+    """
     enabled = F.broadcast(specs.select("relation", "recall_routes", "allow_existing", "max_candidates", "ord"))
     narrow = [df.withColumn("route", F.lit(name)).select(*KEY, "route", "score", F.struct(*DEBUG[name]).alias(name)) for name, df in found.items()]
-    none = kg["triples"].where("false").select(*KEY, F.lit("").alias("route"), dec(0).alias("score"))
+    none = kg["triples"].where("false").select(*KEY, F.lit("").alias("route"), dec(0).alias("score"), F.lit(0).alias("edge"))
+    for some, linked in joined:
+        own = some.where(F.array_contains("recall_routes", F.lit("path_rule"))).select("relation")
+        narrow.append(linked.direct.crossJoin(F.broadcast(own)).select(*KEY, F.lit("path_rule").alias("route"), dec(0).alias("score"), F.lit(1).alias("edge")))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), narrow, none).join(enabled, "relation").where(F.array_contains("recall_routes", F.col("route")))
-    summed = every.groupBy(*KEY).agg(F.sum("score").alias("score"), F.collect_set("route").alias("hit"), *(F.first(n, ignorenulls=True).alias(n) for n in found))
+    each = every.groupBy(*KEY).agg(F.sum("score").alias("score"), F.collect_set(F.when(F.col("edge").isNull(), F.col("route"))).alias("hit"), F.max("edge").alias("edge"), *(F.first(n, ignorenulls=True).alias(n) for n in found))
     taken = kg["triples"].select(*KEY).distinct().join(F.broadcast(specs.where("not allow_existing").select("relation")), "relation", "left_semi")
-    sparse = cut(summed.join(taken, KEY, "left_anti"), "hits")
+    parts, names = [], []
+    for some, linked in joined:
+        on = {r: F.array_contains("recall_routes", F.lit(r)) for r in ("path_rule", "common_neighbor")}
+        mine = F.broadcast(some.select("relation", "recall_routes", "max_candidates"))
+        names += [r.relation for r in some.select("relation").collect()]
+        placed = cut(dense.place(each.join(mine.drop("max_candidates"), "relation"), linked), "placed")
+        said = _class_said(on, F.when(F.col("edge") == 1, F.lit(1)).otherwise(F.col("hops")))
+        score, hit = _summed(said)
+        parts.append(placed.select(*KEY, (F.col("score") + score).alias("score"), F.concat("hit", hit).alias("hit"), *found, *(d.alias(r) for r, (_, d) in said.items())).join(taken, KEY, "left_anti"))
+        classes = linked.pairs.crossJoin(mine)
+        said = _class_said(on, F.col("hops"))
+        score, hit = _summed(said)
+        classes = classes.where(F.size(hit) > 0)
+        known = placed.where("hops is not null").select(*KEY, *dense.CELL).unionByName(dense.place(taken.join(mine.select("relation"), "relation"), linked).where("hops is not null").select(*KEY, *dense.CELL))
+        most = max(r.max_candidates for r in some.select("max_candidates").collect())  # specs is configuration
+        values = [score.alias("score"), hit.alias("hit"), *(d.alias(r) for r, (_, d) in said.items())]
+        parts.append(dense.expand(linked, values, ["relation"], classes, known, most))
+    parts.append(each.where(~F.col("relation").isin(names)).drop("edge").join(taken, KEY, "left_anti"))
+    sparse = cut(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "hits")
+    found = [*found, *(["path_rule", "common_neighbor"] if joined else [])]
     fill = routes.schema_fillers(ends, specs, kg["triples"], sparse)
     pairs = sparse.unionByName(fill, allowMissingColumns=True).join(enabled, "relation")
     typed = F.array_contains("recall_routes", F.lit("schema_type"))

@@ -45,6 +45,15 @@ def alike(specs: DataFrame, route: str) -> list[list[str]]:
     return list(groups.values())
 
 
+def alike_hubs(specs: DataFrame, ends: tuple[DataFrame, DataFrame]) -> list[tuple[list[str], tuple[DataFrame, DataFrame]]]:
+    """Relations of the same types that enable a route over neighbors, and their ends."""
+    groups: dict[tuple, list[str]] = {}
+    for r in specs.select("relation", "head_types", "tail_types", "recall_routes").collect():
+        if {"path_rule", "common_neighbor"} & set(r.recall_routes):
+            groups.setdefault((frozenset(r.head_types), frozenset(r.tail_types)), []).append(r.relation)
+    return [(relations, tuple(e.where(F.col("relation").isin(relations)) for e in ends)) for relations in groups.values()]
+
+
 def legal_pairs(ends: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(relation, head, tail) of every legal pair, for relations whose ends are few; the routes never build it."""
     heads, tails = (e.select("relation", F.col("id").alias(n)) for e, n in zip(ends, ("head", "tail")))

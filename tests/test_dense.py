@@ -7,6 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from attestra.config import Relation, relation_table
 from attestra.operators import candidates, dense, graph
 
 PAIRS_DEALT = r"hashpartitioning\(head#\d+, tail#\d+"
@@ -85,3 +86,38 @@ def test_single_relation_scores(spark, monkeypatch, overlap):
     assert not re.search(PAIRS_DEALT + r", \d+", plan(got))  # by head, tail and nothing else
     first = [(r.head, r.tail) for r in candidates.single_relation_scores(kg, [h, t], 7).orderBy(F.desc("candidate_score"), "head", "tail").limit(7).collect()]
     assert first == sorted(want, key=lambda p: (-want[p], p))[:7]
+
+
+def test_multi_route_by_classes(spark, monkeypatch):
+    """The best of a relation whose pairs mostly owe all to hubs, with one taken, one direct edge and evidence of a few."""
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    monkeypatch.setattr(dense, "DEAL", 4)
+    edges, heads, tails = hubs(4, False)
+    direct = next(iter(sorted(e for e in edges if e[0] in heads and e[1] in tails)))
+    triples, _, _ = frames(spark, edges, heads, tails)
+    triples = triples.unionByName(spark.createDataFrame([("known", direct[0], "r2", direct[1], 99)], triples.schema))
+    entities = spark.createDataFrame([(x, "head" if x in heads else "tail", x, [], {}, i) for i, x in enumerate(heads + tails)], "id string, type string, name string, aliases array<string>, properties map<string,string>, seq long")
+    evidence = spark.createDataFrame([("e1", "s", "t", ["h1", "t1", "t2"], 0.9, 1)], "id string, source string, text string, related_entities array<string>, reliability double, seq long")
+    specs = relation_table(spark, [Relation("r2", "", ["head"], ["tail"], [], ["path_rule", "common_neighbor", "evidence_cooccurrence"], "", "", 40)])
+    got = candidates.multi_route({"entities": entities, "triples": triples, "evidence": evidence}, specs).orderBy("seq").collect()
+    near = around({e for e in edges if e[0] != e[1]})
+    loops, want = around(edges), {}
+    for a, b in product(heads, tails):
+        hops = 1 if b in near[a] else 2 if near[a] & near[b] else 3 if any(y in near[x] for x in near[a] for y in near[b]) else None
+        common = sorted(loops[a] & loops[b])
+        score = (0 if hops is None else 45 if hops <= 2 else 25) + (min(30, 12 + 4 * len(common)) if common else 0) + (26 if a == "h1" and b in ("t1", "t2") else 0)
+        if score and (a, b) != direct:
+            want[a, b] = (score / 100, hops, common)
+    best = sorted(want, key=lambda p: (-want[p][0], p))[:40]
+    assert [(r.head, r.tail) for r in got] == best
+    assert [(r.candidate_score, r.debug.shortest_path_len, r.debug.common_neighbors or []) for r in got] == [want[p] for p in best]
+
+
+def test_best_of_classes_are_few(spark, monkeypatch):
+    """Of 40 * 40 pairs at one hub only those are made that can be among the best two."""
+    heads, tails = [f"h{i:02}" for i in range(40)], [f"t{i:02}" for i in range(40)]
+    edges, h, t = frames(spark, {(x, "m") for x in heads + tails}, heads, tails)
+    found = dense.link(dense.undirected(edges), h, t)
+    assert dense.expand(found, [F.col("hops")]).count() == 1600
+    assert [tuple(r) for r in dense.expand(found, [F.col("hops")], best=2).orderBy("head", "tail").limit(2).collect()] == [("h00", "t00", 2), ("h00", "t01", 2)]
+    assert dense.expand(found, [F.col("hops")], best=2).count() <= 4
