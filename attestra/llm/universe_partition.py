@@ -370,6 +370,14 @@ def _by_blocks(rows: DataFrame, known: DataFrame, most: int | None) -> DataFrame
     return keyed.groupBy("code", "one", "two").applyInArrow(lambda table: _block(table, most), "u long, v long")
 
 
+def _numbered(codes: DataFrame, root: str, name: str) -> DataFrame:
+    """(code, number): numbers of their own, small ones, which are shorter to send than codes: a code's place in its partition, and the partition in the last bits."""
+    found = materialise(codes.select("code", F.monotonically_increasing_id().alias("id")), root, name)
+    part = F.shiftright("id", 33)
+    bits = (found.agg(F.max(part)).first()[0] or 0).bit_length()
+    return found.select("code", (F.shiftleft(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)), bits) + part).alias("number"))
+
+
 def _some(pairs: DataFrame, turn: int) -> DataFrame:
     """PARTNERS of each set's open pairs, in a random order of this turn."""
     both = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
@@ -387,13 +395,15 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     hot = np.zeros(1 << HOT_BITS, np.uint8)
     heat = map_arrow(base.select("text"), _heat, "cell long, n long", BATCH).groupBy("cell").agg(F.floor(F.log2(F.sum("n"))).alias("level")).toArrow()  # 2^HOT_BITS rows at most
     hot[np.asarray(heat["cell"])] = np.asarray(heat["level"])
-    sets = materialise(map_arrow(base, _signed, f"doc_id {kind}, n_shingles long, set_id long, codes array<long>", BATCH, hot=zlib.compress(hot.tobytes(), 1)), root, "sets")
+    signed = materialise(map_arrow(base, _signed, f"doc_id {kind}, n_shingles long, set_id long, codes array<long>", BATCH, hot=zlib.compress(hot.tobytes(), 1)), root, "signed")
 
     by_code = Window.partitionBy("code").orderBy("set_id")
     whole = Window.partitionBy("code")
-    rows = sets.where(F.col("codes").isNotNull()).select(F.explode("codes").alias("code"), "set_id", F.col("n_shingles").alias("n"))
+    rows = signed.where(F.col("codes").isNotNull()).select(F.explode("codes").alias("code"), "set_id", F.col("n_shingles").alias("n"))
     grouped = rows.withColumn("before", F.lag("set_id").over(by_code)).withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole)).withColumn("size", F.count("*").over(whole))
     shared = materialise(grouped.where((F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("set_id")))).select("code", "set_id", "n", "least", "size"), root, "shared")
+    sets = materialise(signed.drop("codes"), root, "sets")  # most codes are met once: the rest of the run needs none of them
+    remove(spark, f"{root}/signed")
     release(spark)
 
     bits = _filter_bits(shared.select("set_id").distinct(), "set_id")
@@ -415,8 +425,7 @@ def _sets(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     while not last:
         turn += 1
         rows = materialise(_open(shared, groups), root, f"open-{turn}")
-        large = rows.where(F.col("size") > SMALL).select("code").distinct().select("code", F.monotonically_increasing_id().alias("number"))
-        large = materialise(large, root, f"large-{turn}")  # numbers of groups are shorter to send than codes
+        large = _numbered(rows.where(F.col("size") > SMALL).select("code").distinct(), root, f"large-{turn}")
         numbered = rows.join(large, "code").withColumn("code", F.col("number")).drop("number")
         rest = _by_join(rows, known).unionByName(_by_blocks(numbered, known, None)).distinct().join(tried, ["u", "v"], "left_anti")
         rest = materialise(rest, root, f"rest-{turn}")

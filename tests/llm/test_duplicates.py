@@ -285,3 +285,19 @@ def test_pieces_of_a_batch_are_the_same_rows():
     assert len(parts) > 9 and [x for p in parts for x in p.column("doc_id").to_pylist()] == list(range(len(t)))
     assert [s.tolist() for p in parts for s in universe_partition.shingle_sets(p.column("text").fill_null(""))] == want
     assert [s.tolist() for s in universe_partition.shingle_sets(batch.slice(9, 30).column("text"))] == want[9:39]
+
+
+def test_numbers_of_groups_are_small_and_their_own(spark, tmp_path):
+    codes = spark.range(1000).selectExpr("xxhash64(id) as code").repartition(7, "code")
+    got = [r.number for r in universe_partition._numbered(codes, str(tmp_path), "large").collect()]
+    assert len({*got}) == 1000 and 0 <= min(got) and max(got) < 7 * 1000
+
+
+def test_signatures_are_not_kept(spark, tmp_path, monkeypatch):
+    """What the later steps read holds no signatures, and the table that had them is gone."""
+    monkeypatch.setattr(universe_partition, "shared_dir", lambda _: str(tmp_path / "run"))
+    rows = [(k, " ".join(f"w{i}" for i in range(40 + k % 2))) for k in range(20)]
+    sets, _ = universe_partition._sets(spark.createDataFrame(rows, "doc_id long, text string"), universe_partition.shared_dir(spark))
+    assert sets.columns == ["doc_id", "n_shingles", "set_id"] and sets.count() == 20
+    kept = {f.name: {*spark.read.parquet(str(f)).columns} for f in (tmp_path / "run").iterdir() if f.name in ("signed", "sets")}
+    assert kept == {"sets": {*sets.columns}}
