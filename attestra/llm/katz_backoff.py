@@ -218,11 +218,18 @@ class _View:
             out[order[cut[bucket] : cut[bucket + 1]]] = arrays[column]
         return out
 
+    def _gather_ids(self, level: int) -> np.ndarray:
+        """Ids of the level's n-grams from their ranks in their buckets."""
+        order, cut = self.slots[level - 1]
+        bucket = np.empty(len(order), np.int64)
+        bucket[order] = np.repeat(np.arange(self.m.buckets), np.diff(cut))
+        return self._gather("counts", level, 0, np.int64) * self.m.buckets + bucket
+
     def _level(self, level: int) -> None:
         if level > 1:
             self.c.extend()
         self.slots.append(self.slices(level))
-        self.ids.append(self._gather("counts", level, 0, np.int64))  # at the last level: not ids
+        self.ids.append(self._gather_ids(level))  # at the last level: not ids
         self.counts.append(self._gather("counts", level, -1, np.int64))
         gram = self.c.grams[level - 1]
         if level == 1:
@@ -306,7 +313,7 @@ def _emit(model: _Model, level: int, last: bool):
 
 
 def _count(model: _Model, level: int, last: bool):
-    """All chunks' n-grams of a bucket -> ids and held-out marks (below the last level) and counts for each chunk, the bucket's totals, statistics of its histories."""
+    """All chunks' n-grams of a bucket -> ranks and held-out marks (below the last level) and counts for each chunk, the bucket's totals, statistics of its histories."""
 
     def run(grams: pa.Table) -> pa.Table:
         chunks, blobs = grams.column("chunk").to_pylist(), grams.column("blob").to_pylist()
@@ -331,12 +338,12 @@ def _count(model: _Model, level: int, last: bool):
             below = model.seen(level - 1, *lower)
         total = np.bincount(inverse, count, len(keys)).astype(np.int64)
         order = np.argsort(-total, kind="stable")
-        ids = np.empty(len(keys), np.int64)
-        ids[order] = np.arange(len(keys)) * model.buckets + bucket
+        ranks = np.empty(len(keys), np.int64)  # an n-gram's id is its rank times the buckets, and its bucket
+        ranks[order] = np.arange(len(keys))
         start = 0
         for chunk, n, part in zip(chunks, sizes, parts):
             of = inverse[start : start + n]
-            rows.append(("counts", level, chunk, bucket, _pack(*([] if last else [_narrow(ids[of]), part[-1] & 1]), _narrow(total[of]))))
+            rows.append(("counts", level, chunk, bucket, _pack(*([] if last else [_narrow(ranks[of]), part[-1] & 1]), _narrow(total[of]))))
             start += n
         counted = total
         if level == 1:
@@ -380,7 +387,8 @@ def _weigh(model: _Model, level: int):
         rows = []
         for k, chunk, blob in zip(kinds, chunks, blobs):
             if k == "counts":
-                ids, held, _ = _unpack(blob)
+                ranks, held, _ = _unpack(blob)
+                ids = ranks.astype(np.int64) * model.buckets + bucket
                 at = np.minimum(np.searchsorted(hist, ids), max(len(hist) - 1, 0))
                 hit = hist[at] == ids if len(hist) else np.zeros(len(ids), bool)
                 totals, weights = np.zeros(len(ids), np.int64), np.ones(len(ids))

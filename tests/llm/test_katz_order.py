@@ -1,5 +1,7 @@
 """The query of operator 3 scores with trigrams."""
 
+import numpy as np
+
 from attestra.llm import katz_backoff
 
 
@@ -9,3 +11,11 @@ def test_query_uses_trigrams(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     got, two, three = ({r.doc_id: round(r.score, 9) for r in d.collect()} for d in (katz_backoff.op3_katz_backoff(spark, str(tmp_path)), katz_backoff.score_documents(docs, 2), katz_backoff.score_documents(docs, 3)))
     assert got == three != two
+
+
+def test_buckets_send_ranks():
+    """Not ids, which are as many times larger as there are buckets."""
+    model, keys, n = katz_backoff._Model(1000), np.arange(50, dtype=np.uint64) * np.uint64(1000) + np.uint64(7), np.ones(50, np.int64)
+    grams = katz_backoff._table([("grams", 1, 0, 7, katz_backoff._pack(keys, n, n.astype(np.uint8)))])
+    sent = [r for r in katz_backoff._count(model, 1, False)(grams).to_pylist() if r["kind"] == "counts"]
+    assert sorted(katz_backoff._unpack(sent[0]["blob"])[0].tolist()) == list(range(50))
