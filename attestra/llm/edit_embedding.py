@@ -11,6 +11,8 @@ each band's least text meets the others, then all that are still in two classes
 Short texts, whose walks leave places empty, are proposed by their halves instead, exactly.
 Many unlike texts may share a code, such as copies with other words in places: a bitmap of the
 parities of a text's character pairs rules those out within the join, so they never become rows.
+Groups above SMALL rows meet in pairs of blocks, in order of length: each text goes to its blocks,
+and what comes out are only pairs within the edits allowed.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ CHARS_PER_EDIT, MOST_EDITS, LEAST_CHARS, BANDS, BAND_PLACES = 200, 8, 10, 32, 4
 HALVES_BELOW, BANDS_FROM = 2 * CHARS_PER_EDIT, CHARS_PER_EDIT
 #: Parity bits of a text, and how many of them one edit flips at most: two pairs of characters go, two come.
 PARITIES, FLIPS = 128, 4
+#: Groups of one code up to so many rows are joined; larger ones meet in blocks of so many rows, a row more for each so many characters.
+SMALL, BLOCK, ROW_CHARS = 16, 512, 8192
+#: Pairs whose edit distance is worked out at once.
+PAIRS_AT_ONCE = 16_384
 _SEED = 20_240_229
 
 
@@ -196,7 +202,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def record(kind: str, rows: list[tuple]) -> pa.RecordBatch:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_sha256", "halves", "parity_a", "parity_b", "kind", "part", "text"]
-        types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        types = [id_type, pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -210,7 +216,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = ([held] if held else []) + list(zip(ids, texts, own))
         rows = []
         for (i, t, f), e, g, nxt in zip(before, changed, new, own if held else own[1:]):
-            rows.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f.hex(), g.hex(), likeness(f, g), likeness(f, nxt), hashlib.sha256(t.encode()).hexdigest(), half_codes(t), *parities(t), "row", part, None))
+            rows.append((i, len(t), hashlib.sha256(e.encode()).digest(), f, g, likeness(f, g), likeness(f, nxt), hashlib.sha256(t.encode()).digest(), half_codes(t), *parities(t), "row", part, None))
         first = first or before[0]
         held = (ids[-1], texts[-1], own[-1])
         return record("row", rows) if rows else None
@@ -231,23 +237,23 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if (out := flush(ids, texts)) is not None:
         yield out
     if first and held:
-        yield record("edge", [(i, None, None, f.hex(), None, None, None, None, None, None, None, kind, part, t) for kind, (i, t, f) in (("first", first), ("last", held))])
+        yield record("edge", [(i, None, None, f, None, None, None, None, None, None, None, kind, part, t) for kind, (i, t, f) in (("first", first), ("last", held))])
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         mine, following = (batch.column(c).to_pylist() for c in ("text", "next_text"))
-        prints = [[bytes.fromhex(x) for x in batch.column(c).to_pylist()] for c in ("fingerprint", "next_fingerprint")]
+        prints = [batch.column(c).to_pylist() for c in ("fingerprint", "next_fingerprint")]
         changed = [edited(a, b) for a, b in zip(mine, following)]
         new = fingerprints(changed)
         cols = [
             pa.array([len(t) for t in mine], pa.int64()),
-            pa.array([hashlib.sha256(e.encode()).hexdigest() for e in changed], pa.string()),
+            pa.array([hashlib.sha256(e.encode()).digest() for e in changed], pa.binary()),
             batch.column("fingerprint"),
-            pa.array([g.hex() for g in new], pa.string()),
+            pa.array(new, pa.binary()),
             pa.array([likeness(f, g) for f, g in zip(prints[0], new)], pa.float64()),
             pa.array([likeness(f, g) for f, g in zip(*prints)], pa.float64()),
-            pa.array([hashlib.sha256(t.encode()).hexdigest() for t in mine], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).digest() for t in mine], pa.binary()),
             pa.array([half_codes(t) for t in mine], pa.list_(pa.int64())),
             *(pa.array([parities(t)[k] for t in mine], pa.int64()) for k in (0, 1)),
         ]
@@ -262,11 +268,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     what lies at the partitions' edges is stitched from two rows a partition. Null and empty
     texts have n_chars 0 and the fingerprint of the empty text. Other columns stay behind.
     """
-    return _with_halves(docs).drop(*_OF_TEXT)
+    return _in_hex(_with_halves(docs).drop(*_OF_TEXT))
 
 
-#: What near_documents needs of each text besides.
+#: What near_documents needs of each text besides; what is kept as bytes until it is returned.
 _OF_TEXT = ("text_sha256", "halves", "parity_a", "parity_b")
+_BYTES = ("edited_sha256", "fingerprint", "edited_fingerprint")
+
+
+def _in_hex(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in _BYTES})
 
 
 def _with_halves(docs: DataFrame) -> DataFrame:
@@ -277,7 +288,7 @@ def _with_halves(docs: DataFrame) -> DataFrame:
     dealt = id_and_text(docs)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     dealt = dealt.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
-    result = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text_sha256 string, halves array<long>, parity_a long, parity_b long"
+    result = f"doc_id {kind}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text_sha256 binary, halves array<long>, parity_a long, parity_b long"
     root = shared_dir(spark)
     rows = materialise(map_arrow(dealt, _walks, f"{result}, kind string, part long, text string"), root, "walks")
     del dealt
@@ -310,7 +321,7 @@ def near_pairs(prints: DataFrame, bands: int = 16, likely: float = 0.5) -> DataF
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, prints, halves = (batch.column(c).to_pylist() for c in ("n_chars", "fingerprint", "halves"))
-        found = [h + (band_codes(bytes.fromhex(f)) if k >= BANDS_FROM else []) for k, f, h in zip(n, prints, halves)]
+        found = [h + (band_codes(f) if k >= BANDS_FROM else []) for k, f, h in zip(n, prints, halves)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], ["node", "n_chars", "codes"])
 
 
@@ -319,11 +330,10 @@ def _edits(n: str) -> str:
     return f"greatest(int({n} >= {LEAST_CHARS}), least(int({n} div {CHARS_PER_EDIT}), {MOST_EDITS}))"
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, root: str, name: str) -> DataFrame:
-    """Those of the pairs (u, v) whose texts are within the edits allowed; only the texts of pairs are moved on."""
-    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame, root: str, name: str) -> DataFrame:
+    """(node, text) of the nodes needed; only their texts are moved on."""
     least = materialise(nodes.join(needed, "node").select("node", F.col("doc_id").alias("least_id"), "text_sha256"), root, f"{name}-nodes")
-    keyed = id_and_text(docs).select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    keyed = id_and_text(docs).select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"), "text")
     # a bitmap of the wanted texts' hashes, about a byte each, keeps nearly all other texts from being moved
     bits = 64 << max(0, least.count() // 8).bit_length()
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
@@ -331,14 +341,132 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, root: str, na
     bitmap = least.groupBy(word("text_sha256").alias("word")).agg(F.bit_or(bit("text_sha256")).alias("bits"))
     keyed = keyed.join(F.broadcast(bitmap), word("key") == F.col("word")).where(F.col("bits").bitwiseAND(bit("key")) != 0)
     texts = keyed.join(least, (F.col("key") == F.col("text_sha256")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
-    texts = materialise(texts, root, f"{name}-texts")
+    texts = materialise(texts.dropDuplicates(["node"]), root, f"{name}-texts")
     release(docs.sparkSession)
+    return texts
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, root: str, name: str) -> DataFrame:
+    """Those of the pairs (u, v) whose texts are within the edits allowed."""
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    texts = _texts(needed, nodes, docs, root, name)
     u, v = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
     longer = "greatest(length(text_u), length(text_v))"
     links = pairs.join(u, "u").join(v, "v").where(F.expr(f"levenshtein(text_u, text_v, {_edits(longer)}) >= 0")).select("u", "v").distinct()
     return materialise(links, root, f"{name}-links")
 
 
+class _Strings:
+    """Texts laid end to end, with hashes of all beginnings: parts of two texts are compared in one step.
+
+    Equal parts always have equal hashes; unlike ones have with a chance of about 2**-64 at random.
+    """
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+
+    def __init__(self, texts: list[str]) -> None:
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+        self.size = np.array([len(c) for c in codes], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size + 1)[:-1])).astype(np.int64)
+        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(self.size.max(initial=0)), self.BASE, np.uint64))))
+        self.hash = np.zeros(int((self.size + 1).sum()), np.uint64)
+        for at, c in zip(self.start, codes):
+            np.cumsum(_mix(c) * power[: len(c)], out=self.hash[at + 1 : at + 1 + len(c)])
+
+    def common(self, u: np.ndarray, v: np.ndarray, i: np.ndarray, d: int) -> np.ndarray:
+        """How far text u from i on and text v from i + d on agree."""
+        a, b = self.start[u] + i, self.start[v] + i + d
+        most = np.minimum(self.size[u] - i, self.size[v] - i - d)
+        shift = np.uint64(pow(self.BASE, abs(d), 1 << 64))
+        ha, hb = self.hash[a], self.hash[b]
+        low, high = np.zeros_like(most), np.maximum(most, 0)
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_] + 1) // 2
+            x, y = self.hash[a[open_] + mid] - ha[open_], self.hash[b[open_] + mid] - hb[open_]
+            same = x * shift == y if d >= 0 else x == y * shift
+            low[open_] = np.where(same, mid, low[open_])
+            high[open_] = np.where(same, high[open_], mid - 1)
+        return low
+
+    def near(self, u: np.ndarray, v: np.ndarray, most: int, longer: int) -> np.ndarray:
+        """Whether texts u are within `most` edits of texts v, which are `longer` characters longer each: furthest places by edits and shift."""
+        out = np.zeros(len(u), bool)
+        live = np.arange(len(u))
+        reached: dict[int, np.ndarray] = {}
+        for e in range(most + 1):
+            now = {}
+            for d in range(max(-e, longer - (most - e)), min(e, longer + (most - e)) + 1):
+                tries = [reached[d] + 1] if d in reached else []
+                tries += [reached[d - 1]] if d - 1 in reached else []
+                tries += [reached[d + 1] + 1] if d + 1 in reached else []
+                i = np.zeros(len(live), np.int64) if not e else np.maximum.reduce(tries)
+                a, b = u[live], v[live]
+                i = np.maximum(np.minimum(i, np.minimum(self.size[a], self.size[b] - d)), max(0, -d))
+                now[d] = i + self.common(a, b, i, d)
+            reached = now
+            if longer in reached:
+                done = reached[longer] >= self.size[u[live]]
+                out[live[done]] = True
+                live, reached = live[~done], {d: i[~done] for d, i in reached.items()}
+        return out
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """Pairs (u, v) of two blocks of a group (or of one with itself) that are within the edits allowed, in different components."""
+    rows = rows.sort_by([("n_chars", "ascending"), ("node", "ascending")])
+    col = {c: rows.column(c).to_numpy() for c in ("node", "n_chars", "component", "parity_a", "parity_b", "block")}
+    n, parity = col["n_chars"].astype(np.int64), np.stack((col["parity_a"], col["parity_b"]), 1).view(np.uint64)
+    edits = np.maximum(n >= LEAST_CHARS, np.minimum(n // CHARS_PER_EDIT, MOST_EDITS)).astype(np.int64)  # the longer text, which comes later, decides
+    alone = rows.column("one")[0].as_py() == rows.column("two")[0].as_py()
+    number: dict[int, int] = {}
+    held = [(k, number.setdefault(c, len(number))) for k, cs in enumerate(rows.column("codes").to_pylist()) for c in cs]
+    codes = np.zeros((len(n), len(number) + 1), np.float32)
+    if held:
+        codes[tuple(np.array(held).T)] = 1
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for v in range(1, len(n)):
+        first = int(np.searchsorted(n, n[v] - edits[v], "left"))
+        u = np.arange(first, v)
+        u = u[(col["component"][u] != col["component"][v]) & (alone | (col["block"][u] != col["block"][v]))]
+        u = u[np.bitwise_count(parity[u] ^ parity[v]).sum(1, dtype=np.int64) <= FLIPS * edits[v]]
+        if len(u):
+            u = u[codes[u] @ codes[v] == 0]  # pairs that share a lesser code meet there
+        if len(u):
+            found.append((u, np.full(len(u), v)))
+    near: list[tuple[np.ndarray, np.ndarray]] = []
+    if found:
+        u, v = (np.concatenate(x) for x in zip(*found))
+        strings = _Strings(rows.column("text").to_pylist())
+        kind = edits[v] * (MOST_EDITS + 1) + n[v] - n[u]
+        for x in np.unique(kind):
+            mine = np.flatnonzero(kind == x)
+            for at in range(0, len(mine), PAIRS_AT_ONCE):
+                some = mine[at : at + PAIRS_AT_ONCE]
+                hit = some[strings.near(u[some], v[some], *divmod(int(x), MOST_EDITS + 1))]
+                near.append((col["node"][u[hit]], col["node"][v[hit]]))
+    u, v = (np.concatenate(x) for x in zip(*near)) if near else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+
+
+def _by_blocks(rows: DataFrame, parity: DataFrame, nodes: DataFrame, docs: DataFrame, root: str) -> DataFrame:
+    """Near pairs (u, v) of large groups, in different components: pairs of blocks whose lengths are near meet, each in a group of rows of its own.
+
+    rows: code, node, n_chars, component; parity: node, parity_a, parity_b. A pair meets in the least code that it shares.
+    """
+    by_length = Window.partitionBy("code").orderBy("n_chars", "node").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("block", F.floor((F.sum(1 + F.floor(F.col("n_chars") / ROW_CHARS)).over(by_length) - 1) / BLOCK))
+    rows = materialise(rows, root, "blocks")
+    spans = rows.groupBy("code", "block").agg(F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    one, two = (spans.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high"))) for x in ("u", "v"))
+    meet = one.join(two, "code").where("block_u <= block_v").where(F.expr(f"low_v - high_u <= {_edits('high_v')}"))
+    meet = meet.select("code", F.col("block_u").alias("one"), F.col("block_v").alias("two"), F.explode(F.array_distinct(F.array("block_u", "block_v"))).alias("block"))
+    of_node = rows.groupBy("node", "n_chars", "component").agg(F.collect_list(F.struct("code", "block")).alias("of"))
+    texts = _texts(rows.select("node").distinct(), nodes, docs, root, "blocks")
+    dealt = of_node.join(parity, "node").join(texts, "node").withColumn("at", F.explode("of"))  # joined once a node, not once a code
+    dealt = dealt.select("node", "n_chars", "component", "parity_a", "parity_b", "text", "at.code", "at.block", F.filter("of.code", lambda c: c < F.col("at.code")).alias("codes"))
+    return dealt.join(meet, ["code", "block"]).groupBy("code", "one", "two").applyInArrow(_block, "u long, v long").distinct()
+
+
 def near_documents(docs: DataFrame) -> DataFrame:
     """fingerprint_documents with class_id and n_links.
 
@@ -378,9 +506,11 @@ def near_documents(docs: DataFrame) -> DataFrame:
     joined = components(links, root, "joined")
     labelled = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialise(labelled.select("node", "n_chars", "code", "component"), root, "labelled")
-    apart = labelled.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("code")
-    left = labelled.join(apart, "code").join(parity, "node")
-    rest = pairs(end(left, "u").join(end(left, "v"), "code").where("u < v and component_u != component_v")).join(stars, ["u", "v"], "left_anti")
+    apart = labelled.groupBy("code").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a < b").select("code", "size")
+    left = labelled.join(apart, "code")
+    small, large = left.where(F.col("size") <= SMALL).join(parity, "node"), left.where(F.col("size") > SMALL).drop("size")
+    rest = pairs(end(small, "u").join(end(small, "v"), "code").where("u < v and component_u != component_v"))
+    rest = rest.unionByName(_by_blocks(large, parity, nodes, docs, root)).distinct().join(stars, ["u", "v"], "left_anti")
     rest = materialise(rest, root, "rest")
     release(spark)
     links = links.unionByName(_verified(rest, nodes, docs, root, "rest"))
@@ -389,7 +519,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     placed = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     known = placed.join(least, "component").join(counts, "node", "left").select("text_sha256", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(known, "text_sha256").drop(*_OF_TEXT)
+    return _in_hex(rows.join(known, "text_sha256").drop(*_OF_TEXT))
 
 
 def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
