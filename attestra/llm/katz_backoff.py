@@ -33,29 +33,61 @@ _ROWS = "kind string, level int, chunk long, bucket int, blob binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed byte planes."""
+    """Arrays as compressed byte planes; of integers only the planes that the largest one needs."""
     import zstandard
 
-    planes = [(str(a.dtype), a.shape[0], np.ascontiguousarray(a).view(np.uint8).reshape(a.shape[0], -1).T.tobytes()) for a in arrays]
+    planes = []
+    for a in arrays:
+        kind, words = a.dtype.str, np.ascontiguousarray(a).view(f"<u{a.itemsize}")
+        width = a.itemsize
+        if a.dtype.kind in "iu":
+            width = (int(words.max(initial=0)).bit_length() + 7) // 8
+            if kind == "<i8" and width < 4:
+                kind = "<i4"
+        planes.append((kind, len(a), b"".join((words >> 8 * i).astype(np.uint8).tobytes() for i in range(width))))
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(planes))
 
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
+def _planes(blob: bytes) -> list[tuple[str, int, bytes]]:
     import zstandard
 
-    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(-1, n).T).view(t).reshape(n) if n else np.zeros(0, t) for t, n, b in planes]
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+def _array(kind: str, n: int, planes: bytes) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    for i in range(len(planes) // max(n, 1)):
+        out[:, i] = np.frombuffer(planes, np.uint8, n, i * n)
+    return out.reshape(-1).view(kind)
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.int32) if not len(a) or int(a.max()) < 2**31 else a
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    return [_array(*p) for p in _planes(blob)]
+
 
+def _sorted(codes: np.ndarray, places: np.ndarray | None = None, kind: str | None = "stable") -> tuple[np.ndarray, np.ndarray]:
+    """Codes, none negative, in order and the places (ascending; by default 0, 1, ...) where they stood; ties by place.
 
-def _ordered(major: np.ndarray, minor: np.ndarray, kind: str | None = "stable") -> np.ndarray:
-    """Order by major, then minor, neither negative; ties as they stand, or any way for kind None. One sort where both fit a word."""
-    if len(major) and int(major.max()) < (1 << 62) // (int(minor.max()) + 1):
-        return np.argsort(major * (int(minor.max()) + 1) + minor, kind=kind)
-    return np.lexsort((minor, major))
+    Code and place share a word where they fit, since sorting words takes a fraction of an argsort;
+    where they don't, kind None leaves ties any way.
+    """
+    if places is None:
+        places = np.arange(len(codes))
+    bits = int(places[-1]).bit_length() if len(places) else 0
+    if len(codes) and int(codes.max()).bit_length() + bits < 64:
+        both = codes << bits
+        both |= places
+        both.sort()
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.argsort(codes, kind=kind)
+    return codes[order], places[order]
+
+
+def _starts(codes: np.ndarray) -> np.ndarray:
+    """Which of the codes, in order, differ from the one before."""
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    return new
 
 
 class _Chunk:
@@ -64,35 +96,38 @@ class _Chunk:
     def __init__(self, lengths: np.ndarray, held: np.ndarray, words: np.ndarray, keys: np.ndarray) -> None:
         self.lengths, self.held, self.words, self.keys = lengths, held, words, keys
         self.start = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-        self.train = np.repeat(~held, lengths)
+        self.held_places = np.flatnonzero(np.repeat(held, lengths))
         self.place = np.arange(len(words)) - np.repeat(self.start, lengths)  # 0: the begin word
         self.grams: list[np.ndarray] = [words]  # of each level: local n-gram that ends here, -1 where none does
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []  # of each level above 1: history and word of each local n-gram
+        self.first: list[np.ndarray] = []  # of each level above 1: a place where each local n-gram ends
 
     def extend(self) -> None:
         """The next level's local n-grams."""
         hist, n_words = self.grams[-1], len(self.keys)
-        level = len(self.grams) + 1
-        ok = self.place >= level - 1
-        prev = np.concatenate(([-1], hist[:-1]))
-        code = prev * n_words + self.words
-        found, inverse = np.unique(code[ok], return_inverse=True)
+        at = np.flatnonzero(self.place >= len(self.grams))
+        code, at = _sorted(hist[at - 1] * n_words + self.words[at], at)
+        new = _starts(code)
         gram = np.full(len(hist), -1, np.int64)
-        gram[ok] = inverse
+        gram[at] = np.cumsum(new) - 1
+        found = code[new]
+        before = found // n_words
         self.grams.append(gram)
-        self.pairs.append((found // n_words, found % n_words))
+        self.pairs.append((before, found - before * n_words))
+        self.first.append(at[new])
 
-    def _places(self, level: int, train: bool) -> np.ndarray:
-        g = self.grams[level - 1]
-        n = len(self.keys) if level == 1 else len(self.pairs[level - 2][0])
-        return np.bincount(g[(self.train == train) & (g >= 0)], minlength=n)
+    def _size(self, level: int) -> int:
+        return len(self.keys) if level == 1 else len(self.first[level - 2])
 
     def train_counts(self, level: int) -> np.ndarray:
-        return self._places(level, True)
+        g, n = self.grams[level - 1] + 1, self._size(level) + 1
+        return (np.bincount(g, minlength=n) - np.bincount(g[self.held_places], minlength=n))[1:]
 
     def in_held(self, level: int) -> np.ndarray:
         """Which n-grams stand in a held-out text: only after those can an unseen word follow."""
-        return (self._places(level, False) > 0).astype(np.uint8)
+        out = np.zeros(self._size(level) + 1, np.uint8)  # the last one for places where no n-gram ends
+        out[self.grams[level - 1][self.held_places]] = 1
+        return out[:-1]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +214,19 @@ class _Model:
         """Over how many buckets the continuations of a history go."""
         return np.minimum(1 + total * 2 * self.buckets // max(self.tokens, 1), self.buckets)
 
-    def bucket_of(self, hist: np.ndarray, total: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Home bucket of a history, or, for a frequent one, one of several by the word."""
-        spread = self.spread(total)
-        return (hist + (word * 2_654_435_761 >> 7) % spread) % self.buckets
+    def bucket_of(self, ids: np.ndarray, totals: np.ndarray, hist: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of histories by their ids and totals, and pairs of a history and a word's id: home bucket of the history, or, for a frequent one, one of several by the word."""
+        home, spread = ids % self.buckets, self.spread(totals)
+        bucket = home[hist]
+        wide = np.flatnonzero((spread > 1)[hist])
+        bucket[wide] = (bucket[wide] + (word[wide] * 2_654_435_761 >> 7) % spread[hist[wide]]) % self.buckets
+        return bucket
 
 
 class _View:
     """A chunk with all that the buckets have sent it, level by level, and the tokens' probabilities if it is to be scored."""
 
-    def __init__(self, model: _Model, blob: bytes, sent: dict[tuple[str, int], dict[int, list[np.ndarray]]], levels: int, scored: bool = False) -> None:
+    def __init__(self, model: _Model, blob: bytes, sent: dict[tuple[str, int], dict[int, list[tuple]]], levels: int, scored: bool = False) -> None:
         self.m, self.c, self.scored = model, _load(blob), scored
         self.sent = sent
         self.ids: list[np.ndarray] = []
@@ -197,25 +235,27 @@ class _View:
         self.slots: list[tuple[np.ndarray, np.ndarray]] = []
         self.prob: np.ndarray | None = None  # at each token, by the levels so far
         for level in range(1, levels + 1):
-            self._level(level)
+            self._level(level, scored and level == levels)
 
     def slices(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Order of the level's n-grams for sending, and where each bucket's slice begins."""
         if level == 1:
             bucket = (self.c.keys % np.uint64(self.m.buckets)).astype(np.int64)
-            order = np.lexsort((self.c.keys, bucket))
+            _, order = _sorted(bucket)
         else:
             hist, word = self.c.pairs[level - 2]
-            h, w = self.ids[level - 2][hist], self.ids[0][word]
-            bucket = self.m.bucket_of(h, self.counts[level - 2][hist], w)
-            order = _ordered(bucket, h)
-        return order, np.searchsorted(bucket[order], np.arange(self.m.buckets + 1))
+            ids = self.ids[level - 2]
+            rank = np.empty(len(ids), np.int64)
+            rank[_sorted(ids)[1]] = np.arange(len(ids))
+            bucket = self.m.bucket_of(ids, self.counts[level - 2], hist, self.ids[0][word])
+            _, order = _sorted(bucket * len(ids) + rank[hist])
+        return order, np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=self.m.buckets))))
 
     def _gather(self, kind: str, level: int, column: int, dtype: type) -> np.ndarray:
         order, cut = self.slots[level - 1]
         out = np.zeros(len(order), dtype)
-        for bucket, arrays in self.sent.get((kind, level), {}).items():
-            out[order[cut[bucket] : cut[bucket + 1]]] = arrays[column]
+        for bucket, columns in self.sent.get((kind, level), {}).items():
+            out[order[cut[bucket] : cut[bucket + 1]]] = _array(*columns[column])
         return out
 
     def _gather_ids(self, level: int) -> np.ndarray:
@@ -225,11 +265,12 @@ class _View:
         bucket[order] = np.repeat(np.arange(self.m.buckets), np.diff(cut))
         return self._gather("counts", level, 0, np.int64) * self.m.buckets + bucket
 
-    def _level(self, level: int) -> None:
+    def _level(self, level: int, last: bool) -> None:
         if level > 1:
             self.c.extend()
         self.slots.append(self.slices(level))
-        self.ids.append(self._gather_ids(level))  # at the last level: not ids
+        if not last:
+            self.ids.append(self._gather_ids(level))
         self.counts.append(self._gather("counts", level, -1, np.int64))
         gram = self.c.grams[level - 1]
         if level == 1:
@@ -240,29 +281,26 @@ class _View:
         self.totals.append(total)
         if self.scored and ("alpha", level - 1) in self.sent:
             alpha = self._gather("alpha", level - 1, 1, np.float64)
-            ok = gram >= 0
-            hist = self.c.pairs[level - 2][0][gram[ok]]
-            count = self.counts[level - 1][gram[ok]]
+            hist = self.c.pairs[level - 2][0]
+            count = self.counts[level - 1]
             with np.errstate(all="ignore"):
                 seen = self.m.discounted(level, count) / total[hist]
-            self.prob[ok] = np.where(count > 0, seen, np.where(total[hist] > 0, alpha[hist], 1.0) * self.prob[ok])
+            # a probability or a weight for each n-gram; the last one, for places where none ends, leaves what is there
+            known = np.append(np.where(count > 0, seen, 0.0), 0.0)
+            weight = np.append(np.where(count > 0, 0.0, np.where(total > 0, alpha, 1.0)[hist]), 1.0)
+            self.prob = known[gram] + weight[gram] * self.prob
 
     def lower(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each n-gram of a level: count of the n-gram without its first word, and, above level 2, that one's history's total."""
-        gram = self.c.grams[level - 1]
-        at = np.flatnonzero(gram >= 0)
-        below = self.c.grams[level - 2][at]
-        counts, totals = (np.zeros(len(self.c.pairs[level - 2][0]), np.int64) for _ in range(2))
-        counts[gram[at]] = self.counts[level - 2][below]
-        if level > 2:
-            totals[gram[at]] = self.totals[level - 3][self.c.pairs[level - 3][0][below]]
-        return counts, totals
+        below = self.c.grams[level - 2][self.c.first[level - 2]]
+        totals = self.totals[level - 3][self.c.pairs[level - 3][0][below]].astype(np.int64) if level > 2 else np.zeros(len(below), np.int64)
+        return self.counts[level - 2][below], totals
 
 
 def _sent(kinds: list[str], levels: list[int], buckets: list[int], blobs: list[bytes]) -> dict:
-    out: dict[tuple[str, int], dict[int, list[np.ndarray]]] = {}
+    out: dict[tuple[str, int], dict[int, list[tuple]]] = {}
     for k, lv, b, blob in zip(kinds, levels, buckets, blobs):
-        out.setdefault((k, lv), {})[b] = _unpack(blob)
+        out.setdefault((k, lv), {})[b] = _planes(blob)
     return out
 
 
@@ -295,13 +333,13 @@ def _emit(model: _Model, level: int, last: bool):
             count = c.train_counts(level)[order]
             marks = np.zeros(len(order), np.uint8) if last else c.in_held(level)[order]
             if level == 1:
-                columns = [c.keys[order], _narrow(count), marks]
+                columns = [c.keys[order], count, marks]
             else:
                 hist, word = (x[order] for x in c.pairs[level - 2])
                 # the lower model's probability counts for seen n-grams alone, and a chunk that has seen one sends what it follows from
-                lower = (_narrow(np.where(count > 0, x[order], 0)) for x in view.lower(level))
+                lower = (np.where(count > 0, x[order], 0) for x in view.lower(level))
                 asked = (c.in_held(level - 1) | (model.spread(view.counts[level - 2]) > 1))[hist]  # a bucket sees a spread history in part
-                columns = [view.ids[level - 2][hist], _narrow(view.ids[0][word]), _narrow(count), *lower, marks + 2 * asked.astype(np.uint8)]
+                columns = [view.ids[level - 2][hist], view.ids[0][word], count, *lower, marks + 2 * asked.astype(np.uint8)]
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 mine = [x[cut[b] : cut[b + 1]] for x in columns]
                 if level > 1:
@@ -324,26 +362,36 @@ def _count(model: _Model, level: int, last: bool):
         rows = []
         if level == 1:
             keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            hist = None
+            size = len(keys)
         else:
-            h = np.concatenate([np.cumsum(p[0]) for p in parts])
+            codes, at = _sorted(np.concatenate([np.cumsum(p[0]) for p in parts]))
+            new = _starts(codes)
+            hist = codes[new]
+            of = np.empty(len(at), np.int64)  # n-grams' places among the histories
+            of[at] = np.cumsum(new) - 1
             w = np.concatenate([p[1] for p in parts]).astype(np.int64)
-            at = _ordered(h, w, None)
-            new = np.concatenate(([True], (h[at][1:] != h[at][:-1]) | (w[at][1:] != w[at][:-1])))
+            words = int(w.max()) + 1
+            codes, at = _sorted(of * words + w, kind=None)
+            new = _starts(codes)
             inverse = np.empty(len(at), np.int64)
             inverse[at] = np.cumsum(new) - 1
-            hist, keys = h[at][new], w[at][new]
-            asked = np.unique(h[np.concatenate([p[-1] for p in parts]) > 1])
-            lower = (np.maximum.reduceat(np.concatenate([p[k] for p in parts]).astype(np.int64)[at], np.flatnonzero(new)) for k in (3, 4))
+            mine = codes[new] // words  # distinct n-grams' places among the histories
+            size = len(mine)
+            asked = np.zeros(len(hist), bool)
+            asked[of[np.concatenate([p[-1] for p in parts]) > 1]] = True
+            told = np.flatnonzero(count)
+            lower = [np.zeros(size, np.int64) for _ in range(2)]
+            for to, k in zip(lower, (3, 4)):
+                to[inverse[told]] = np.concatenate([p[k] for p in parts])[told]
             below = model.seen(level - 1, *lower)
-        total = np.bincount(inverse, count, len(keys)).astype(np.int64)
-        order = np.argsort(-total, kind="stable")
-        ranks = np.empty(len(keys), np.int64)  # an n-gram's id is its rank times the buckets, and its bucket
-        ranks[order] = np.arange(len(keys))
+        total = np.bincount(inverse, count, size).astype(np.int64)
+        if not last:
+            ranks = np.empty(size, np.int64)  # an n-gram's id is its rank times the buckets, and its bucket
+            ranks[_sorted(int(total.max()) - total)[1]] = np.arange(size)
         start = 0
         for chunk, n, part in zip(chunks, sizes, parts):
-            of = inverse[start : start + n]
-            rows.append(("counts", level, chunk, bucket, _pack(*([] if last else [_narrow(ranks[of]), part[-1] & 1]), _narrow(total[of]))))
+            own = inverse[start : start + n]
+            rows.append(("counts", level, chunk, bucket, _pack(*([] if last else [ranks[own], part[-1] & 1]), total[own])))
             start += n
         counted = total
         if level == 1:
@@ -352,17 +400,17 @@ def _count(model: _Model, level: int, last: bool):
             counted = total[keys != np.uint64(xxhash.xxh3_64_intdigest(BEGIN_WORD))]
         n_r = np.bincount(np.minimum(counted, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
         rows.append(("totals", level, -1, bucket, _pack(np.concatenate(([counted.sum(), (counted > 0).sum()], n_r)).astype(np.int64))))
-        if hist is not None:
-            seen = total > 0
-            hs, inv = np.unique(hist[seen], return_inverse=True)
-            t = total[seen]
-            used = np.isin(hs, asked, assume_unique=True)  # the others' backoff weight is never asked for: their scale is enough
-            m = [np.bincount(inv, t == r, len(hs)).astype(np.int32) for r in range(1, DISCOUNTED + 1)]
-            columns = [hs, _narrow(np.bincount(inv, t, len(hs)).astype(np.int64)), np.bincount(inv, below[seen], len(hs)) * used, *m]
-            home = hs % model.buckets
-            for b in np.unique(home):
-                mine = home == b
-                rows.append(("stats", level, -1, int(b), _pack(np.diff(hs[mine], prepend=0), *(x[mine] for x in columns[1:]))))
+        if level > 1:
+            seen, few = np.flatnonzero(total), np.flatnonzero((total > 0) & (total <= DISCOUNTED))
+            sums = np.bincount(mine[seen], total[seen], len(hist)).astype(np.int64)
+            lows = np.bincount(mine[seen], below[seen], len(hist)) * asked  # the others' backoff weight is never asked for: their scale is enough
+            m = np.bincount(mine[few] * DISCOUNTED + total[few] - 1, minlength=len(hist) * DISCOUNTED).reshape(-1, DISCOUNTED)
+            kept = np.flatnonzero(sums)
+            home, at = _sorted(hist[kept] % model.buckets)
+            kept = kept[at]
+            for some in np.split(np.arange(len(kept)), np.flatnonzero(_starts(home))[1:]) if len(kept) else []:
+                x = kept[some]
+                rows.append(("stats", level, -1, int(home[some[0]]), _pack(np.diff(hist[x], prepend=0), sums[x], lows[x], *m[x].T)))
         return _table(rows)
 
     return run
@@ -375,27 +423,22 @@ def _weigh(model: _Model, level: int):
         bucket = table.column("bucket")[0].as_py()
         kinds, chunks, blobs = (table.column(c).to_pylist() for c in ("kind", "chunk", "blob"))
         stats = [_unpack(b) for k, b in zip(kinds, blobs) if k == "stats"]
-        if stats:
-            hist, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in stats]), return_inverse=True)
-            total, below, *m = (np.bincount(inverse, np.concatenate([s[i] for s in stats]), len(hist)) for i in range(1, 3 + DISCOUNTED))
-            left = sum((1 - model.d[level - 1][r - 1]) * r * m[r - 1] for r in range(1, DISCOUNTED + 1))
-            none = left <= 0
-            scale = total + none  # a history without discounted counts: as if one more had been seen
-            alpha = (np.where(none, 1.0, left) / scale) / np.maximum(1 - below, 1e-300)
-        else:
-            hist, scale, alpha = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        asking = [(c, *(_array(*p) for p in _planes(b)[:2])) for k, c, b in zip(kinds, chunks, blobs) if k == "counts"]
+        # the histories at home here stand by their ranks in this bucket
+        at = np.concatenate([np.cumsum(s[0]) // model.buckets for s in stats] or [np.zeros(0, np.int64)])
+        size = 1 + max([int(x.max(initial=0)) for x in (at, *(ranks for _, ranks, _ in asking))])
+        total, below, *m = (np.bincount(at, np.concatenate([s[i] for s in stats] or [at]), size) for i in range(1, 3 + DISCOUNTED))
+        left = sum((1 - model.d[level - 1][r - 1]) * r * m[r - 1] for r in range(1, DISCOUNTED + 1))
+        none = left <= 0
+        scale = total + none  # a history without discounted counts: as if one more had been seen
+        alpha = (np.where(none, 1.0, left) / scale) / np.maximum(1 - below, 1e-300)
+        hit = total > 0
+        scale, alpha = np.where(hit, scale, 0).astype(np.int64), np.where(hit, alpha, 1.0)
         rows = []
-        for k, chunk, blob in zip(kinds, chunks, blobs):
-            if k == "counts":
-                ranks, held, _ = _unpack(blob)
-                ids = ranks.astype(np.int64) * model.buckets + bucket
-                at = np.minimum(np.searchsorted(hist, ids), max(len(hist) - 1, 0))
-                hit = hist[at] == ids if len(hist) else np.zeros(len(ids), bool)
-                totals, weights = np.zeros(len(ids), np.int64), np.ones(len(ids))
-                totals[hit] = scale[at[hit]]
-                asked = hit & (held > 0)
-                weights[asked] = alpha[at[asked]]
-                rows.append(("alpha", level - 1, chunk, bucket, _pack(_narrow(totals), weights)))
+        for chunk, ranks, held in asking:
+            weights, asked = np.ones(len(ranks)), np.flatnonzero(held)
+            weights[asked] = alpha[ranks[asked]]
+            rows.append(("alpha", level - 1, chunk, bucket, _pack(scale[ranks], weights)))
         return _table(rows)
 
     return run
