@@ -34,6 +34,31 @@ def undirected(triples: DataFrame) -> DataFrame:
     return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def narrowed(triples: DataFrame, heads: DataFrame, tails: DataFrame) -> DataFrame:
+    """Of undirected(triples) what link (of 3 hops) needs: the edges of all walks of at most three edges from heads to tails, columns `id`.
+
+    Walks are followed from the side with fewer edges, so what the other side has beside them (a supplier's
+    parts, where only nations lead to customers) is dropped before edges are told apart or turned.
+    """
+    ends = {s: cut(df.select("id").distinct(), f"{s}-ids") for s, df in (("head", heads), ("tail", tails))}
+
+    def at(nodes: DataFrame, among: DataFrame | None = None) -> DataFrame:  # (a, b) with b among nodes
+        some = nodes.select(F.col("id").alias("b"))
+        out = triples.select(F.col("head").alias("a"), F.col("tail").alias("b"))
+        both = [out, out.select(F.col("b").alias("a"), F.col("a").alias("b"))]
+        if among is not None:
+            both = [x.join(among.select(F.col("id").alias("a")), "a", "left_semi") for x in both]
+        return both[0].join(some, "b", "left_semi").unionByName(both[1].join(some, "b", "left_semi"))
+
+    near, far = sorted(ends, key=lambda s: at(ends[s]).count())
+    first = cut(at(ends[near]).distinct(), "first-edges")
+    around = cut(first.select(F.col("a").alias("id")).distinct(), "around")
+    second = cut(at(around).distinct(), "second-edges")
+    last = at(cut(second.select(F.col("a").alias("id")).distinct(), "beyond"), ends[far])
+    every = first.unionByName(second).unionByName(last)
+    return every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def _classes(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     """(side, side_class) and (side_class, node) of distinct (side, node). A class goes by its least member; sets are told apart by size and 128 bits of hashes."""
     sets = cut(rows.groupBy(side).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")), "sets")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attestra.functions.text import attribute_tokens
 from attestra.operators import graph
 from attestra.operators.checks import links
+from attestra.sources.shared import cut
 
 #: Fixed values. What source-specific rules ask of shared evidence: relation -> (sources, one of these texts, none for any).
 SOURCE_RULES: dict[str, tuple[list[str], list[str]]] = {
@@ -20,6 +21,9 @@ SOURCE_RULES: dict[str, tuple[list[str], list[str]]] = {
     "runs_on": (["dns", "ticket", "alert"], [" on ", "maps", "fired on"]),
 }
 
+#: Fixed value. About how many pairs, counted once a shared evidence, a task groups.
+SHARE = 1 << 19
+
 
 def dec(c: Column | float | str) -> Column:
     return (F.lit(c) if not isinstance(c, Column) else c).cast("decimal(12,6)")
@@ -30,6 +34,15 @@ def capped(n: Column, cap: str, base: str, step: str) -> Column:
     return F.when(n > 0, F.least(dec(F.lit(cap)), dec(F.lit(base)) + dec(F.lit(step)) * n)).cast("decimal(12,6)")
 
 
+def togetherness(n: Column) -> Column:
+    """Score of n shared evidences."""
+    return capped(n, "0.5", "0.18", "0.08")
+
+
+def likeness(jaccard: Column) -> Column:
+    return F.least(F.lit(0.35), F.lit(0.1) + jaccard).cast("decimal(12,6)")
+
+
 def legal_ends(entities: DataFrame, specs: DataFrame, side: str) -> DataFrame:
     """(relation, id, type) of the entities whose type the relation allows at that end."""
     types = specs.select("relation", F.explode(f"{side}_types").alias("type"))
@@ -90,10 +103,36 @@ def shared_evidence(evidence: DataFrame, ends: tuple[DataFrame, DataFrame]) -> D
     return _with_relations(h.join(t, "evidence_id"), ends)
 
 
+def named(evidence: DataFrame, sides: dict[str, DataFrame]) -> DataFrame:
+    """(evidence_id, seq, an array for each of sides) of the ids, columns `id`, that an evidence names, each once. One pass for all sides."""
+    each = evidence.select(F.col("id").alias("evidence_id"), "seq", F.explode("related_entities").alias("entity_id"))
+    for side, ids in sides.items():
+        each = each.join(ids.select(F.col("id").alias("entity_id"), F.lit(True).alias(side)), "entity_id", "left")
+    each = each.where(F.coalesce(*sides))
+    return each.groupBy("evidence_id").agg(F.first("seq").alias("seq"), *(F.collect_set(F.when(F.col(side), F.col("entity_id"))).alias(side) for side in sides))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(head, tail, evidence_count, attribute, rule, edge) by pairs of rows (head, tails, the same): counts are summed, of the others the largest is kept.
+
+    Tails travel as arrays to their head's task and meet there, so single pairs are not shuffled. Heads
+    of more than SHARE tails are split by tails over several tasks.
+    """
+    load = cut(rows.groupBy("head").agg(F.sum(F.size("tails")).alias("load")), "load")
+    total = load.agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0]
+    large = load.where(F.col("load") > SHARE).select("head", F.ceil(F.col("load") / SHARE).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(large), "head", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    mine = F.filter("tails", lambda t: F.pmod(F.xxhash64(t), F.col("parts")) == F.col("part"))
+    dealt = dealt.withColumn("tails", F.when(F.col("parts").isNull(), F.col("tails")).otherwise(mine)).drop("parts")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARE + 1)
+    pairs = dealt.repartition(tasks, "head", "part").withColumn("tail", F.explode("tails")).where("head != tail")
+    return pairs.groupBy("head", "part", "tail").agg(F.sum("evidence_count").alias("evidence_count"), *(F.max(c).alias(c) for c in ("attribute", "rule", "edge"))).drop("part")
+
+
 def by_cooccurrence(shared: DataFrame) -> DataFrame:
     found = shared.groupBy("relation", "head", "tail").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("seq", "evidence_id"))).alias("ids"))
     first = F.transform(F.slice("ids", 1, 8), lambda x: x["evidence_id"])
-    return found.select("relation", "head", "tail", capped(F.col("n"), "0.5", "0.18", "0.08").alias("score"), F.col("n").cast("int").alias("evidence_count"), first.alias("evidence_ids"))
+    return found.select("relation", "head", "tail", togetherness(F.col("n")).alias("score"), F.col("n").cast("int").alias("evidence_count"), first.alias("evidence_ids"))
 
 
 def by_source(shared: DataFrame, evidence: DataFrame, rules: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
@@ -120,8 +159,7 @@ def attribute_overlap(entities: DataFrame, heads: DataFrame, tails: DataFrame) -
 
 def by_attributes(entities: DataFrame, ends: tuple[DataFrame, DataFrame]) -> DataFrame:
     found = attribute_overlap(entities, _all(ends[0]), _all(ends[1]))
-    score = F.least(F.lit(0.35), F.lit(0.1) + F.col("jaccard")).cast("decimal(12,6)")
-    return _with_relations(found, ends).select("relation", "head", "tail", score.alias("score"), F.bround("jaccard", 4).alias("attribute_similarity"), F.col("shared").alias("shared_tokens"))
+    return _with_relations(found, ends).select("relation", "head", "tail", likeness(F.col("jaccard")).alias("score"), F.bround("jaccard", 4).alias("attribute_similarity"), F.col("shared").alias("shared_tokens"))
 
 
 def schema_fillers(ends: tuple[DataFrame, DataFrame], specs: DataFrame, triples: DataFrame, sparse: DataFrame) -> DataFrame:
